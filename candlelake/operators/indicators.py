@@ -174,11 +174,11 @@ def normalize_series(df: DataFrame, interval: str, places: int = 6) -> DataFrame
     )
 
 
-def indicator_table(df: DataFrame, interval: str = "1m") -> DataFrame:
+def indicator_table(df: DataFrame, interval: str = "1m", scale: int = 8) -> DataFrame:
     """The stored indicator row of each closed candle: sma20, sma50, ema12, ema26 and the close."""
-    out = sma(df.select("symbol", "open_time", "close"), interval, 20, 50)
+    out = sma(df.select("symbol", "open_time", "close"), interval, 20, 50, scale=scale)
     for n in (12, 26):
-        out = ema(out, interval, n)
+        out = ema(out, interval, n, scale=scale)
     return out.select(
         "symbol", F.col("open_time").alias("timestamp"), "close", "sma20", "sma50", "ema12", "ema26"
     )

@@ -110,7 +110,7 @@ def live_candle(
     ticks = ticker.where((F.col("price") != 0) & F.col("event_time").isNotNull()).select(
         "symbol", F.struct("price", "event_time", bucket("event_time", size).alias("window")).alias("tick")
     )
-    stored = last.select("symbol", F.struct(bucket("open_time", size).alias("open_time"), *measures).alias("stored"))
+    stored = latest(last.select(*CANDLE_COLUMNS), ["symbol"], ["open_time"]).select("symbol", F.struct(bucket("open_time", size).alias("open_time"), *measures).alias("stored"))
     rows = bars.join(ticks, "symbol", "full").join(stored, "symbol", "full")
 
     price = F.col("tick.price")

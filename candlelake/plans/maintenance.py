@@ -53,13 +53,19 @@ def backfill_gaps(
 
 
 def _table_replace(df: DataFrame, table: str) -> None:
-    """Overwrite the day partitions that occur in ``df``."""
-    columns = df.sparkSession.table(table).columns
-    (
-        df.select(*columns)
-        .write.option("partitionOverwriteMode", "dynamic")
-        .insertInto(table, overwrite=True)
-    )
+    """Overwrite the day partitions that occur in ``df``, which may be read from the same table.
+
+    New files are staged and swapped in on commit. ``insertInto`` takes the overwrite mode from the
+    session, so it is set for the time of the write.
+    """
+    spark = df.sparkSession
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        df.select(*spark.table(table).columns).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(mode, before)
 
 
 def _drop_days(spark, table: str, days: Sequence) -> None:

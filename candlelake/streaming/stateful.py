@@ -100,6 +100,9 @@ class Indicators(StatefulProcessor):
     PERIODS = (12, 26)
     KEEP = 50
 
+    def __init__(self, scale: int = 8) -> None:
+        self.scale = scale
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.closes = handle.getValueState("closes", "closes array<double>")
         self.averages = handle.getValueState("averages", "ema12 double, ema26 double")
@@ -123,17 +126,17 @@ class Indicators(StatefulProcessor):
         names = [f.split()[0] for f in INDICATOR_FIELDS.split(", ")]
         frame = pd.DataFrame(out, columns=names)
         measures = names[3:]
-        frame[measures] = frame[measures].astype("float64").round(8)
+        frame[measures] = frame[measures].astype("float64").round(self.scale)
         yield frame
 
     def close(self) -> None:
         pass
 
 
-def stream_indicators(df: DataFrame) -> DataFrame:
+def stream_indicators(df: DataFrame, scale: int = 8) -> DataFrame:
     """Indicators of each closed candle (symbol, open_time, close), in order of time per symbol."""
     return df.select("symbol", "open_time", "close").groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=Indicators(), outputStructType=INDICATOR_FIELDS, outputMode="Append", timeMode="None"
+        statefulProcessor=Indicators(scale), outputStructType=INDICATOR_FIELDS, outputMode="Append", timeMode="None"
     )
 
 
