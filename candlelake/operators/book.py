@@ -43,20 +43,13 @@ def book_metrics(df: DataFrame) -> DataFrame:
     )
 
 
-def _ladder(side: str) -> Column:
-    """Levels of one side with their running total, inside the row."""
-    start = F.struct(
-        F.lit(0.0).alias("run"), F.array().cast("array<struct<price:double,amount:double,total:double>>").alias("out")
-    )
+def _running(side: str) -> Column:
+    """Running total of the quantities of one side, inside the row."""
 
-    def step(acc: Column, x: Column) -> Column:
-        run = acc["run"] + x["qty"]
-        level = F.struct(
-            x["price"].alias("price"), F.round(x["qty"], 4).alias("amount"), F.round(run, 4).alias("total")
-        )
-        return F.struct(run.alias("run"), F.concat(acc["out"], F.array(level)).alias("out"))
+    def step(totals: Column, x: Column) -> Column:
+        return F.concat(totals, F.array(F.coalesce(F.try_element_at(totals, F.lit(-1)), F.lit(0.0)) + x["qty"]))
 
-    return F.aggregate(side, start, step, lambda acc: acc["out"])
+    return F.aggregate(side, F.array().cast("array<double>"), step)
 
 
 def book_ladder(df: DataFrame, *keys: str) -> DataFrame:
@@ -68,19 +61,25 @@ def book_ladder(df: DataFrame, *keys: str) -> DataFrame:
     ask, bid = _best("asks"), _best("bids")
     spread = F.when(ask.isNotNull() & bid.isNotNull() & (ask != 0), F.round((ask - bid) / ask * 100, 3)).otherwise(0.0)
     sides = F.array(
-        F.struct(F.lit("bid").alias("side"), _ladder("bids").alias("levels")),
-        F.struct(F.lit("ask").alias("side"), _ladder("asks").alias("levels")),
+        *[
+            F.struct(F.lit(name).alias("side"), F.col(c).alias("levels"), _running(c).alias("totals"))
+            for name, c in (("bid", "bids"), ("ask", "asks"))
+        ]
     )
     rows = df.select(*keys, spread.alias("spread_pct"), F.explode(sides).alias("_s")).select(
-        *keys,
-        "spread_pct",
-        F.col("_s.side").alias("side"),
-        F.try_element_at("_s.levels", F.lit(-1))["total"].alias("_all"),
-        F.posexplode("_s.levels").alias("level", "_l"),
+        *keys, "spread_pct", "_s.side", F.col("_s.totals").alias("_totals"), F.posexplode("_s.levels").alias("level", "_l")
     )
-    whole = F.when(F.col("_all") == 0, 1.0).otherwise(F.col("_all"))
+    whole = F.round(F.try_element_at("_totals", F.lit(-1)), 4)
+    total = F.round(F.get("_totals", F.col("level")), 4)
     return rows.select(
-        *keys, "side", "level", "_l.price", "_l.amount", "_l.total", F.round(F.col("_l.total") / whole * 100, 4).alias("bar_pct"), "spread_pct"
+        *keys,
+        "side",
+        "level",
+        "_l.price",
+        F.round("_l.qty", 4).alias("amount"),
+        total.alias("total"),
+        F.round(total / F.when(whole == 0, 1.0).otherwise(whole) * 100, 4).alias("bar_pct"),
+        "spread_pct",
     )
 
 

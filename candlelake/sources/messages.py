@@ -72,7 +72,7 @@ def _cast(value: Column, kind: str) -> Column:
     return value if kind == "string" else value.try_cast(kind)
 
 
-def _head(df: DataFrame, m: Column) -> list[Column]:
+def _head(m: Column) -> list[Column]:
     return [m["E"].try_cast("bigint").alias("event_time"), m["s"].alias("symbol")]
 
 
@@ -82,8 +82,13 @@ def _complete(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def _with_map(df: DataFrame, raw: str, name: str = "_m") -> DataFrame:
-    return df.withColumn(name, F.from_json(raw, TEXT_MAP))
+def _parsed(df: DataFrame, parsed: Column, *keep: str | Column, name: str = "_m") -> DataFrame:
+    """Parse a message once per row.
+
+    Filters on parsed fields would otherwise be pushed below the projection and parse the text again for
+    each of them. A generator over the one parsed value stops that.
+    """
+    return df.select(*keep, F.explode(F.array(parsed)).alias(name))
 
 
 def ticker_fields(m: Column, strict: bool = False) -> list[Column]:
@@ -93,7 +98,7 @@ def ticker_fields(m: Column, strict: bool = False) -> list[Column]:
 def parse_ticker(df: DataFrame, raw: str = "raw", strict: bool = False) -> DataFrame:
     """Ticker messages; absent numbers become 0, or NULL with ``strict``."""
     m = F.col("_m")
-    rows = _with_map(df, raw).select(*_head(df, m), *ticker_fields(m, strict))
+    rows = _parsed(df, F.from_json(raw, TEXT_MAP)).select(*_head(m), *ticker_fields(m, strict))
     return _complete(rows, "event_time", "symbol")
 
 
@@ -101,7 +106,7 @@ def explode_batch(df: DataFrame, raw: str = "raw", quote: str | None = "USDT", s
     """Ticker records of an all-symbol message, which is a JSON array of tickers."""
     items = df.select(F.explode(F.from_json(raw, f"array<{TEXT_MAP}>")).alias("_m"))
     m = F.col("_m")
-    rows = items.select(*_head(items, m), *ticker_fields(m, strict))
+    rows = items.select(*_head(m), *ticker_fields(m, strict))
     rows = _complete(rows, "event_time", "symbol")
     return rows if quote is None else rows.where(F.col("symbol").endswith(quote))
 
@@ -109,15 +114,17 @@ def explode_batch(df: DataFrame, raw: str = "raw", quote: str | None = "USDT", s
 def parse_trade(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Aggregate-trade messages."""
     m = F.col("_m")
-    rows = _with_map(df, raw).select(*_head(df, m), *[_cast(m[k], kind).alias(c) for c, k, kind in TRADE_KEYS])
+    rows = _parsed(df, F.from_json(raw, TEXT_MAP)).select(
+        *_head(m), *[_cast(m[k], kind).alias(c) for c, k, kind in TRADE_KEYS]
+    )
     return _complete(rows, *rows.columns)
 
 
 def parse_kline(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Kline messages, whose candle is nested under ``k``."""
     m, k = F.col("_m"), F.col("_k")
-    nested = _with_map(df, raw).withColumn("_k", F.from_json(F.col("_m")["k"], TEXT_MAP))
-    rows = nested.select(*_head(df, m), *[_cast(k[key], kind).alias(c) for c, key, kind in KLINE_KEYS])
+    nested = _parsed(_parsed(df, F.from_json(raw, TEXT_MAP)), F.from_json(m["k"], TEXT_MAP), "_m", name="_k")
+    rows = nested.select(*_head(m), *[_cast(k[key], kind).alias(c) for c, key, kind in KLINE_KEYS])
     return _complete(rows, *rows.columns)
 
 
@@ -127,7 +134,7 @@ def parse_depth(df: DataFrame, raw: str = "raw", as_of: int | None = None) -> Da
     m = F.from_json(
         raw, f"E string, s string, lastUpdateId string, u string, bids {levels}, asks {levels}, b {levels}, a {levels}"
     )
-    rows = df.select(m.alias("_m"))
+    rows = _parsed(df, m)
 
     def side(long: str, short: str) -> Column:
         filled = F.when(F.size(f"_m.{long}") > 0, F.col(f"_m.{long}")).otherwise(F.col(f"_m.{short}"))
@@ -162,9 +169,9 @@ def unwrap_envelope(df: DataFrame, raw: str = "raw", quote: str | None = "USDT")
     Text that is no JSON object is dropped, and so is a payload of no known type. Partial depth carries
     no symbol; it is taken from the stream name.
     """
-    outer = df.withColumn("_o", F.from_json(raw, TEXT_MAP)).where(F.col("_o").isNotNull())
+    outer = _parsed(df, F.from_json(raw, TEXT_MAP), *df.columns, name="_o").where(F.col("_o").isNotNull())
     body = outer.withColumn("_body", F.coalesce(F.col("_o")["data"], F.col(raw)))
-    inner = body.withColumn("_i", F.from_json("_body", TEXT_MAP)).where(F.col("_i").isNotNull())
+    inner = _parsed(body, F.from_json("_body", TEXT_MAP), *body.columns, name="_i").where(F.col("_i").isNotNull())
     i = F.col("_i")
     depth = i["lastUpdateId"].isNotNull() | (i["e"] == "depthUpdate")
     kind = F.when(depth, F.lit("depth")).otherwise(i["e"])
@@ -181,8 +188,7 @@ def unwrap_envelope(df: DataFrame, raw: str = "raw", quote: str | None = "USDT")
 def parse_kline_rows(df: DataFrame, raw: str = "raw", symbol: str = "symbol", interval: str = "1m") -> DataFrame:
     """Closed klines from positional rows (JSON arrays of arrays); rows that do not parse are skipped."""
     items = df.select(F.col(symbol).alias("symbol"), F.explode(F.from_json(raw, "array<array<string>>")).alias("_r"))
-    slots = {c: F.get("_r", F.lit(i)).try_cast(kind) for c, (i, kind) in ROW_SLOTS.items()}
-    rows = items.withColumns(slots)
+    rows = items.withColumns({c: F.get("_r", F.lit(i)).try_cast(kind) for c, (i, kind) in ROW_SLOTS.items()})
     rows = _complete(rows, *ROW_SLOTS)
     return rows.select(
         F.col("kline_start").alias("event_time"),
