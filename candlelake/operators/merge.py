@@ -97,7 +97,7 @@ def apply_update(
     """
     newest = series.groupBy("symbol").agg(F.max("open_time").alias("_newest"))
     columns = series.columns
-    seen = running_max(update, ["symbol"], [arrival], "open_time", width_ms, "_seen").join(newest, "symbol", "left")
+    seen = running_max(update, ["symbol"], [arrival, "open_time"], "open_time", width_ms, "_seen").join(newest, "symbol", "left")
     floor = F.greatest("_seen", "_newest")
     fresh = F.col("open_time") > floor if interval == "1s" else F.col("open_time") >= floor
     taken = seen.where(floor.isNull() | fresh)

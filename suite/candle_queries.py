@@ -338,7 +338,7 @@ def diff_candles(spark, sf):
     sql(
         C1H,
         f"""s AS (SELECT {OHLCV} FROM c1h WHERE open_time < {SPLIT}),
-        u AS (SELECT {OHLCV.replace('close', 'close + 1 AS close')}, open_time + (open_time // {HOUR}) % 4 * {5 * HOUR} AS seq
+        u AS (SELECT {OHLCV.replace('close', 'close + 1 AS close')}, open_time + (open_time // {HOUR}) % 4 * {5 * HOUR + 1} AS seq
               FROM c1h WHERE open_time >= {SPLIT - DAY}),
         ok AS (SELECT * FROM (SELECT u.*, greatest(
                  max(open_time) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
@@ -351,7 +351,7 @@ def diff_candles(spark, sf):
 def apply_update(spark, sf):
     rows = candles(spark, sf).select(*OHLCV_COLUMNS)
     hour = (F.col("open_time") / HOUR).cast("bigint")
-    late = F.pmod(hour, F.lit(4)) * 5 * HOUR
+    late = F.pmod(hour, F.lit(4)) * (5 * HOUR + 1)
     update = rows.where(F.col("open_time") >= SPLIT - DAY).withColumns(
         {"close": F.col("close") + 1, "seq": F.col("open_time") + late}
     )
