@@ -34,13 +34,10 @@ def sma(
     """Simple moving averages ``sma<n>`` of the close; NULL until n candles are there."""
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        # The borrowed rows are all there are before a chunk, so the position in it tells a full frame.
+        seen = F.row_number().over(w)
         return rows.withColumns(
-            {
-                f"sma{n}": F.when(
-                    F.count("close").over(_frame(w, n)) == n, F.round(F.avg("close").over(_frame(w, n)), scale)
-                )
-                for n in periods
-            }
+            {f"sma{n}": F.when(seen >= n, F.round(F.avg("close").over(_frame(w, n)), scale)) for n in periods}
         )
 
     out = over_chunks(df, KEYS, ORDER, width_ms or _width(interval), build, lookback=max(max(periods) - 1, 1))
@@ -124,7 +121,7 @@ def mfi(df: DataFrame, interval: str, n: int = 14, scale: int = 2, width_ms: int
             {
                 "_pos": F.sum(F.when(rising, F.col("_mf")).otherwise(0.0)).over(frame),
                 "_neg": F.sum(F.when(rising, 0.0).otherwise(F.col("_mf"))).over(frame),
-                "_flows": F.count("_before").over(frame),
+                "_flows": F.row_number().over(w) - 1,
             }
         )
 
@@ -133,7 +130,7 @@ def mfi(df: DataFrame, interval: str, n: int = 14, scale: int = 2, width_ms: int
         100 - 100 / (1 + F.col("_pos") / F.when(F.col("_neg") == 0, 1.0).otherwise(F.col("_neg")))
     )
     return (
-        flows.where(F.col("_flows") == n)
+        flows.where(F.col("_flows") >= n)
         .withColumn("mfi", F.round(value, scale))
         .drop("_tp", "_mf", "_before", "_pos", "_neg", "_flows")
     )

@@ -13,15 +13,16 @@ from pyspark.sql import types as T
 from candlelake.functions.numeric import number
 from candlelake.operators.series import (
     CHUNK,
-    HALO,
     TICK_CHUNK_MS,
     chunk_scan,
     chunk_window,
     chunked,
     last_n,
+    running_max,
     with_previous,
 )
 from candlelake.schemas import DAY_MS, HEARTBEAT_MS
+from candlelake.workspace import cut
 
 
 def parse_tick_member(df: DataFrame, member: str = "member") -> DataFrame:
@@ -117,105 +118,96 @@ def asof_quote(
 # --- throttle --------------------------------------------------------------------------------------
 
 
-def _next_sent(t: np.ndarray, changed: np.ndarray, heartbeat: int) -> np.ndarray:
-    """For each row, the next row that is sent if this one was: a change, or the first row a heartbeat later."""
-    n = len(t)
-    rows = np.arange(n)
-    later_change = np.full(n, n)
-    marks = np.flatnonzero(changed)
-    if len(marks):
-        at = np.searchsorted(marks, rows, side="right")
-        later_change = np.where(at < len(marks), marks[np.minimum(at, len(marks) - 1)], n)
-    due = np.maximum(np.searchsorted(t, t + heartbeat, side="left"), rows + 1)
-    return np.minimum(later_change, due)
-
-
-def _first_sent(t: np.ndarray, changed: np.ndarray, threshold: int | None) -> int:
-    marks = np.flatnonzero(changed)
-    first_change = int(marks[0]) if len(marks) else len(t)
-    due = len(t) if threshold is None else int(np.searchsorted(t, threshold, side="left"))
-    return min(first_change, due)
-
-
 def throttle(
     df: DataFrame, heartbeat_ms: int = HEARTBEAT_MS, order: Sequence[str] = ("event_time",), width_ms: int = TICK_CHUNK_MS
 ) -> DataFrame:
     """Add ``reason``: change, heartbeat or skipped.
 
     A tick is sent when its price differs from the previous one, or when a heartbeat has passed since
-    the last tick *sent*. That state runs through the whole series, so each chunk first reports, for
-    every possible time of its first heartbeat, which tick it would send last. Those candidates lie
-    within one heartbeat of the chunk's first tick. Following the reports gives each chunk its true
-    start, and the chunks are then decided in parallel.
+    the last tick *sent*. A change is always sent, and a tick within one heartbeat of the last change is
+    always skipped; window functions settle both. Only ticks later in a run of one price depend on the
+    heartbeats before them. These are kept in the checkpoint folder, as several steps of ``_heartbeats``
+    read them.
     """
     time = order[0]
     keyed = with_previous(df, ["symbol"], order, width_ms, _before="price")
     changed = F.col("_before").isNull() | (F.col("_before") != F.col("price"))
-    base = chunked(keyed, order, width_ms).withColumn("_changed", changed).drop("_before")
-    sort_by = list(order)
-    report_type = T.StructType(
-        [
-            T.StructField("symbol", T.StringType()),
-            T.StructField(CHUNK, T.LongType()),
-            T.StructField("due", T.ArrayType(T.LongType())),
-            T.StructField("last", T.ArrayType(T.LongType())),
-        ]
+    marked = keyed.withColumn("_mark", F.when(changed, F.col(time))).drop("_before")
+    runs = running_max(marked, ["symbol"], order, "_mark", width_ms, "_since").withColumn("_run", F.coalesce("_mark", "_since"))
+    open_ = F.col("_mark").isNull() & (F.col(time) - F.col("_run") >= heartbeat_ms)
+    settled = runs.where(~open_).withColumn("reason", F.when(F.col("_mark").isNotNull(), "change").otherwise("skipped"))
+    late = _heartbeats(cut(runs.where(open_).select(*df.columns, "_run")), heartbeat_ms, order, width_ms)
+    return settled.select(*df.columns, "reason").unionByName(late)
+
+
+def _heartbeats(df: DataFrame, heartbeat_ms: int, order: Sequence[str], width_ms: int) -> DataFrame:
+    """Decide the ticks of a run of one price that come a heartbeat or more after its start, ``_run``.
+
+    Runs are cut into time chunks, and each chunk is scanned once, from the last tick sent before it.
+    That is the start of the run, unless the run reaches over several chunks.
+    """
+    time, key = order[0], ["symbol", "_run", CHUNK]
+    base = chunked(df, order, width_ms)
+    columns = [c for c in df.columns if c != "_run"]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, sent = None, 0
+        for pdf in batches:
+            reason = []
+            for here, t, start in zip(zip(*(pdf[c] for c in key)), pdf[time], pdf["_sent"]):
+                if here != at:
+                    at, sent = here, start
+                due = t - sent >= heartbeat_ms
+                sent = t if due else sent
+                reason.append("heartbeat" if due else "skipped")
+            yield pdf[columns].assign(reason=reason)
+
+    started = base.join(_chunk_starts(base.select(*key, time), heartbeat_ms, time), key, "left").withColumn(
+        "_sent", F.coalesce("_sent", "_run")
     )
+    out = T.StructType([*[df.schema[c] for c in columns], T.StructField("reason", T.StringType())])
+    return started.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(scan, out)
+
 
-    def report(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sort_by, kind="stable")
-        t, changed = pdf[time].to_numpy(np.int64), pdf["_changed"].to_numpy(bool)
-        following = _next_sent(t, changed, heartbeat_ms)
+def _chunk_starts(base: DataFrame, heartbeat_ms: int, time: str) -> DataFrame:
+    """For runs over several chunks: the last tick sent before each chunk, as ``_sent``.
+
+    Each chunk reports, for every tick that could be its first heartbeat, which tick it would then send
+    last; these candidates lie within one heartbeat of the chunk's first tick. Following the reports of
+    a run from chunk to chunk gives every start, without a look at the ticks again.
+    """
+    run = ["symbol", "_run"]
+    long = base.groupBy(*run).agg(F.min(CHUNK).alias("_a"), F.max(CHUNK).alias("_b")).where("_a < _b").select(*run)
+
+    def report(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf[time].to_numpy(np.int64))
+        following = np.searchsorted(t, t + heartbeat_ms)
         last = np.arange(len(t))
         for i in range(len(t) - 1, -1, -1):
             if following[i] < len(t):
                 last[i] = last[following[i]]
-        stop = _first_sent(t, changed, int(t[0]) + heartbeat_ms)
-        candidates = np.arange(min(stop + 1, len(t)))
-        # A change is sent whatever came before: its time is no threshold, so it stands for any later one.
-        due = [int(t[i]) for i in candidates]
-        if stop < len(t) and changed[stop]:
-            due[-1] = np.iinfo(np.int64).max
+        count = int(np.searchsorted(t, t[0] + heartbeat_ms)) + 1
         return pd.DataFrame(
-            {"symbol": [key[0]], CHUNK: [key[1]], "due": [due], "last": [[int(t[last[i]]) for i in candidates]]}
+            {"symbol": [key[0]], "_run": [key[1]], CHUNK: [key[2]], "first": [t[:count]], "last": [t[last[:count]]]}
         )
 
-    def follow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def follow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(CHUNK)
-        sent, starts = None, []
-        for due, last in zip(pdf["due"], pdf["last"]):
+        sent, starts = int(key[1]), []
+        for first, last in zip(pdf["first"], pdf["last"]):
             starts.append(sent)
-            threshold = np.iinfo(np.int64).max if sent is None else sent + heartbeat_ms
-            at = int(np.searchsorted(due, threshold, side="left"))
+            at = int(np.searchsorted(first, sent + heartbeat_ms))
             if at < len(last):
                 sent = int(last[at])
-        return pd.DataFrame(
-            {"symbol": key[0], CHUNK: pdf[CHUNK].to_numpy(), "_sent": pd.array(starts, dtype="Int64")}
-        )
+        return pd.DataFrame({"symbol": key[0], "_run": key[1], CHUNK: pdf[CHUNK].to_numpy(), "_sent": starts})
 
-    reports = base.select("symbol", CHUNK, *sort_by, "_changed").groupBy("symbol", CHUNK).applyInPandas(report, report_type)
-    starts = reports.groupBy("symbol").applyInPandas(follow, f"symbol string, {CHUNK} bigint, _sent bigint")
-
-    columns = df.columns
-    out_type = T.StructType([*[df.schema[c] for c in columns], T.StructField("reason", T.StringType())])
-
-    def decide(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(sort_by, kind="stable").reset_index(drop=True)
-        t, changed = left[time].to_numpy(np.int64), left["_changed"].to_numpy(bool)
-        sent = right["_sent"].iloc[0] if len(right) else None
-        reason = np.full(len(t), "skipped", dtype=object)
-        following = _next_sent(t, changed, heartbeat_ms)
-        i = _first_sent(t, changed, None if sent is None or pd.isna(sent) else int(sent) + heartbeat_ms)
-        while i < len(t):
-            reason[i] = "change" if changed[i] else "heartbeat"
-            i = int(following[i])
-        return left[columns].assign(reason=reason)
-
-    return (
-        base.groupBy("symbol", CHUNK)
-        .cogroup(starts.groupBy("symbol", CHUNK))
-        .applyInPandas(decide, out_type)
+    keys = f"symbol string, _run bigint, {CHUNK} bigint"
+    reports = (
+        base.join(long, run, "left_semi")
+        .groupBy(*run, CHUNK)
+        .applyInPandas(report, f"{keys}, first array<bigint>, last array<bigint>")
     )
+    return reports.groupBy(*run).applyInPandas(follow, f"{keys}, _sent bigint")
 
 
 def throttle_summary(df: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,17 +39,6 @@ TABLES = {
 }
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder name under the shared folder of ``spark.checkpoint.dir``.
-
-    Only where that setting is absent, as on a single machine, a temporary folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="candlelake-")
-    return f"{base.rstrip('/')}/candlelake-{uuid.uuid4().hex}"
-
-
 def ensure_tables(spark: SparkSession, database: str, location: str | None = None, names: Sequence[str] = ()) -> None:
     """Create the database and its day-partitioned tables where they do not exist yet."""
     place = f" LOCATION '{location}'" if location else ""

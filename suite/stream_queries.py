@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from candlelake.schemas import KLINE, TRADE
 from candlelake.sources import tables, topics
 from candlelake.sources.tables import with_day
 from candlelake.streaming import stateful, streams
+from candlelake.workspace import work_dir
 from suite.base import C1H, DAY, END, HOUR, MINUTE, TICKS, candles, klines, ohlcv, query, sql, ticks
 from suite.candle_queries import GRID
 from suite.series_queries import NUMBERED, THROTTLE, _ema_sql, _sma_sql
@@ -28,11 +31,24 @@ def landed(spark, df, time, path):
     return topics.read_stream(spark, path, df.schema, files_per_trigger=FILES)
 
 
+@contextmanager
+def state_partitions(spark):
+    """One state partition per core: adaptive execution does not merge the partitions of a stateful stream."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def finished(stream, spark, time=None):
     """Run a stream over all input that is there; returns what it wrote."""
-    work = tables.work_dir(spark)
-    query_ = streams.start_sink(stream, f"{work}/out", f"{work}/checkpoint", time, once=True)
-    query_.awaitTermination()
+    work = work_dir(spark)
+    with state_partitions(spark):
+        query_ = streams.start_sink(stream, f"{work}/out", f"{work}/checkpoint", time, once=True)
+        query_.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{work}/out")
 
 
@@ -58,7 +74,7 @@ def trade_rows(spark, sf):
     ),
 )
 def stream_ohlcv(spark, sf):
-    source = landed(spark, trade_rows(spark, sf), "event_time", tables.work_dir(spark) + "/crypto_trades")
+    source = landed(spark, trade_rows(spark, sf), "event_time", work_dir(spark) + "/crypto_trades")
     return finished(streams.stream_candles(source, "1h"), spark)
 
 
@@ -67,7 +83,7 @@ def stream_ohlcv(spark, sf):
     sql(TICKS, "SELECT symbol, t AS event_time, id AS agg_trade_id, price, CAST(epoch_ms(t) AS DATE) AS day, TRUE AS stamped FROM ticks"),
 )
 def stream_trades(spark, sf):
-    root = tables.work_dir(spark)
+    root = work_dir(spark)
     rows = trade_rows(spark, sf)
     landed(spark, rows.select(*[F.col(f.name).cast(f.dataType) for f in TRADE]), "event_time", root + "/crypto_trades")
     stream = streams.trade_stream(topics.read_topic(spark, root, "crypto_trades", files_per_trigger=FILES))
@@ -85,7 +101,7 @@ def stream_dedup(spark, sf):
     # Every ticker arrives twice.
     rows = ticks(spark, sf).groupBy("symbol", "event_time").agg(F.min("price").alias("close"))
     twice = rows.unionByName(rows)
-    source = landed(spark, twice, "event_time", tables.work_dir(spark) + "/crypto_ticker")
+    source = landed(spark, twice, "event_time", work_dir(spark) + "/crypto_ticker")
     return finished(streams.ticker_stream(source), spark).drop("event_timestamp")
 
 
@@ -97,7 +113,7 @@ def stream_klines(spark, sf):
     # Every kline arrives twice; some are still open.
     rows = klines(spark, sf).withColumn("is_closed", F.pmod((F.col("kline_start") / HOUR).cast("bigint"), F.lit(5)) != 0)
     twice = rows.unionByName(rows).select(*[F.col(f.name).cast(f.dataType) for f in KLINE])
-    root = tables.work_dir(spark)
+    root = work_dir(spark)
     landed(spark, twice, "kline_start", root + "/crypto_klines")
     stream = streams.kline_stream(topics.read_topic(spark, root, "crypto_klines", files_per_trigger=FILES))
     return finished(stream, spark).select("symbol", "kline_start", "open", "high", "low", "close", "volume")
@@ -119,7 +135,7 @@ def stream_rollup(spark, sf):
     rows = candles(spark, sf, "1m").withColumn("event_time", F.lit(1))
     # An earlier copy of each step, with other prices, must lose against the later one.
     stale = rows.withColumns({"close": F.col("close") + 5, "volume": F.lit(0.0), "event_time": F.lit(0)})
-    source = landed(spark, rows.unionByName(stale), "open_time", tables.work_dir(spark) + "/candles")
+    source = landed(spark, rows.unionByName(stale), "open_time", work_dir(spark) + "/candles")
     out = finished(stateful.stream_rollup(source, "1m", "1h"), spark)
     return out.select("symbol", "kline_start", "open", "high", "low", "close", "volume", "trade_count")
 
@@ -135,7 +151,7 @@ def stream_rollup(spark, sf):
 )
 def stream_indicators(spark, sf):
     streams.use_rocksdb(spark)
-    source = landed(spark, candles(spark, sf), "open_time", tables.work_dir(spark) + "/candles")
+    source = landed(spark, candles(spark, sf), "open_time", work_dir(spark) + "/candles")
     return finished(stateful.stream_indicators(source, scale=6), spark)
 
 
@@ -143,7 +159,7 @@ def stream_indicators(spark, sf):
 def stream_throttle(spark, sf):
     streams.use_rocksdb(spark)
     rows = ticks(spark, sf).select("symbol", "event_time", (F.floor(F.col("price") / 40) * 40.0).alias("price"))
-    source = landed(spark, rows, "event_time", tables.work_dir(spark) + "/ticks")
+    source = landed(spark, rows, "event_time", work_dir(spark) + "/ticks")
     return finished(stateful.stream_throttle(source, HOUR), spark)
 
 
@@ -163,7 +179,7 @@ def stream_live(spark, sf):
         "symbol", "event_time", (F.col("event_time") - F.pmod("event_time", F.lit(DAY).cast("bigint"))).alias("open_time"),
         *[price.alias(c) for c in ("open", "high", "low", "close")], F.lit(0.0).alias("volume"),
     )
-    source = landed(spark, rows, "event_time", tables.work_dir(spark) + "/ticks")
+    source = landed(spark, rows, "event_time", work_dir(spark) + "/ticks")
     return finished(stateful.stream_live_candle(source), spark).select("symbol", "event_time", "open_time", "close")
 
 
@@ -178,7 +194,7 @@ def stream_live(spark, sf):
 )
 def stream_fanout(spark, sf):
     """One stream of candles, growing hour by hour, upserted into a series and into a latest-value table."""
-    root = tables.work_dir(spark)
+    root = work_dir(spark)
     rows = candles(spark, sf).select("symbol", "open_time", "close", F.lit(1).alias("seq"))
     source = landed(spark, rows, "open_time", root + "/candles")
 
@@ -190,7 +206,8 @@ def stream_fanout(spark, sf):
 
         tables.upsert_latest(latest(batch, ["symbol"], ["open_time"]), f"{root}/latest", ["open_time"])
 
-    streams.fan_out(source, {"series": series, "latest": newest}, f"{root}/checkpoint", once=True).awaitTermination()
+    with state_partitions(spark):
+        streams.fan_out(source, {"series": series, "latest": newest}, f"{root}/checkpoint", once=True).awaitTermination()
     columns = ["symbol", "open_time", "close"]
     stored = spark.read.parquet(f"{root}/series").select(*columns, F.lit("series").alias("sink"))
     return stored.unionByName(tables.read_latest(spark, f"{root}/latest").select(*columns, F.lit("latest").alias("sink")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from candlelake.operators.series import latest
 from candlelake.plans import maintenance
 from candlelake.sources import tables
+from candlelake.workspace import work_dir
 from suite.base import C1H, CUT, DAY, HOUR, MINUTE, SPLIT, TICKS, candles, klines, ohlcv, query, sql
 from suite.candle_queries import OHLCV, OHLCV_COLUMNS
 from suite.series_queries import USERS, nation_tickers
@@ -20,7 +21,7 @@ STORED_SQL = "symbol, open_time AS kline_start, open, high, low, close, volume"
 def new_table(spark, name="coin_klines"):
     """A table of its own for this run."""
     database = f"run_{uuid.uuid4().hex}"
-    tables.ensure_tables(spark, database, tables.work_dir(spark), [name])
+    tables.ensure_tables(spark, database, work_dir(spark), [name])
     return f"{database}.{name}"
 
 
@@ -60,7 +61,7 @@ def cold_read(spark, sf):
     ),
 )
 def points_roundtrip(spark, sf):
-    path = tables.work_dir(spark)
+    path = work_dir(spark)
     points = tables.candle_points(klines(spark, sf))
     tables.write_points(points, path)
     # A later copy of half the points, twice: the second write changes nothing.
@@ -89,7 +90,7 @@ def read_points(spark, sf):
     sql(C1H, f"SELECT symbol, open_time, close + CASE WHEN open_time >= {SPLIT} AND open_time < {CUT} THEN 1 ELSE 0 END AS close FROM c1h"),
 )
 def upsert_series(spark, sf):
-    path = tables.work_dir(spark)
+    path = work_dir(spark)
     rows = candles(spark, sf).select("symbol", "open_time", "close").withColumn("event_time", F.lit(1))
     tables.upsert_series(rows.where(F.col("open_time") < CUT), path, ["event_time"])
     changed = rows.where(F.col("open_time") >= SPLIT).withColumns(
@@ -103,7 +104,7 @@ def upsert_series(spark, sf):
 
 @query("upsert_latest", sql(USERS, "SELECT symbol, price AS close, event_time FROM tk"))
 def upsert_latest(spark, sf):
-    path = tables.work_dir(spark)
+    path = work_dir(spark)
     rows = nation_tickers(spark, sf).select("symbol", "close", "event_time", "id")
     late = F.col("event_time") >= SPLIT
     for part in (rows.where(late), rows.where(~late), rows.where(late)):
@@ -171,7 +172,7 @@ def load_history(spark, sf):
 def hourly_table(spark, sf):
     from candlelake.operators.candles import rollup_hourly
 
-    path = tables.work_dir(spark)
+    path = work_dir(spark)
     hourly = rollup_hourly(candles(spark, sf, "1m"))
     tables.upsert_series(hourly, path, ["trade_count"])
     return spark.read.parquet(path).select(*OHLCV_COLUMNS, "trade_count")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from candlelake.plans import maintenance
 from candlelake.schemas import DAY_MS, HISTORY_START_MS
 from candlelake.sources import tables
+from candlelake.workspace import cut, work_dir
 
 H = 3_600_000
 
@@ -179,7 +180,13 @@ def test_backfill_gaps(spark):
 
 
 def test_work_dir_follows_the_session(spark):
-    a, b = tables.work_dir(spark), tables.work_dir(spark)
+    a, b = work_dir(spark), work_dir(spark)
     assert a != b
     base = spark.conf.get("spark.checkpoint.dir", None)
     assert base is None or a.startswith(base)
+
+
+def test_cut_goes_to_the_checkpoint_folder(spark):
+    df = cut(spark.range(5).withColumn("x", F.rand()))
+    assert df.collect() == df.collect()
+    assert df.sparkSession.sparkContext.getCheckpointDir() is not None
