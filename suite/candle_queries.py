@@ -423,7 +423,7 @@ def ticker_before(spark, sf, as_of):
     sql(
         TICKS,
         """SELECT symbol, t AS event_time, price, qty AS volume, id, epoch_ms(t) IS NOT NULL AS stamped,
-        strftime(epoch_ms(t), '%Y-%m-%dT%H:%M:%SZ') AS rfc, CAST(epoch_ms(t) AS DATE) AS day
+        strftime(epoch_ms(t), '%Y-%m-%dT%H:%M:%SZ') AS rfc, CAST(CAST(epoch_ms(t) AS DATE) AS VARCHAR) AS day
         FROM ticks WHERE symbol IS NOT NULL AND symbol LIKE '%k'""",
     ),
 )
@@ -434,7 +434,7 @@ def filters_query(spark, sf):
         *rows.columns,
         F.col("event_timestamp").isNotNull().alias("stamped"),
         time.rfc3339("event_time").alias("rfc"),
-        time.day_of("event_time").alias("day"),
+        time.day_of("event_time").cast("string").alias("day"),
     )
 
 

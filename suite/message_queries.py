@@ -52,10 +52,10 @@ def parse_ticker(spark, sf):
 
 @query("explode_batch", f"WITH {RAW} {TICKER_SQL} WHERE symbol LIKE '%USDT'")
 def explode_batch(spark, sf):
-    # One message per minute and symbol holds that minute's tickers of the symbol.
-    minute = F.floor(F.col("t") / MINUTE)
-    batches = rows(spark, sf).withColumn("m", ticker_message()).groupBy("symbol", minute).agg(F.collect_list("m").alias("ms"))
-    return M.explode_batch(batches.select(F.concat(F.lit("["), F.concat_ws(",", "ms"), F.lit("]")).alias("raw")))
+    # Each message holds a ticker, one of another quote asset, and one that lacks its symbol.
+    other = F.format_string('{"E":%d,"s":"OTHERBTC","c":"1"}', F.col("t"))
+    batch = F.concat(F.lit("["), ticker_message(), F.lit(","), other, F.lit(',{"E":1}]'))
+    return M.explode_batch(rows(spark, sf).select(batch.alias("raw")))
 
 
 def trade_message():
@@ -186,7 +186,7 @@ def symbol_universe(spark, sf):
 
 @query(
     "frame_audit",
-    """SELECT 'events' AS topic, CASE WHEN event_id % 50 > 1 THEN 100 + length(event_type) END AS schema_id, count(*) AS messages,
+    """SELECT 'events' AS topic, CASE WHEN event_id % 50 > 1 THEN 100 + length(event_type) ELSE -1 END AS schema_id, count(*) AS messages,
     CAST(sum(CASE WHEN event_id % 50 = 0 THEN 0 ELSE strlen(props) END) AS BIGINT) AS body_bytes, count(*) FILTER (WHERE event_id % 50 <= 1) AS rejected
     FROM events GROUP BY ALL""",
 )
@@ -205,4 +205,5 @@ def frame_audit(spark, sf):
         .when(which == 1, F.concat(F.unhex(F.lit("07")), F.expr("substring(value, 2)")))
         .otherwise(F.col("value"))
     )
-    return topics.frame_audit(framed.select(F.lit("events").alias("topic"), value.alias("value")))
+    out = topics.frame_audit(framed.select(F.lit("events").alias("topic"), value.alias("value")))
+    return out.na.fill(-1, ["schema_id"])

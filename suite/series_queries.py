@@ -286,7 +286,7 @@ def throttle_summary(spark, sf):
     "asof_quote",
     """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(epoch_us(ts) // 1000 AS BIGINT) AS event_time, event_type, event_id, value FROM events)
     SELECT t.symbol, t.event_time, t.event_id, t.value AS price,
-      CASE WHEN q.event_time >= t.event_time - 172800000 THEN q.event_time END AS quote_time,
+      CASE WHEN q.event_time >= t.event_time - 172800000 THEN q.event_time ELSE -1 END AS quote_time,
       CASE WHEN q.event_time >= t.event_time - 172800000 THEN q.value END AS quote
     FROM (SELECT * FROM e WHERE event_type = 'click') t ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'view') q
     ON t.symbol = q.symbol AND t.event_time >= q.event_time""",
@@ -297,7 +297,8 @@ def asof_quote(spark, sf):
     )
     clicks = rows.where(F.col("event_type") == "click").select("symbol", "event_time", "event_id", F.col("value").alias("price"))
     views = rows.where(F.col("event_type") == "view").select("symbol", "event_time", "event_id", F.col("value").alias("quote"))
-    return T.asof_quote(clicks, views, ["quote"], tolerance_ms=2 * DAY, width_ms=DAY, tie=["event_id"])
+    out = T.asof_quote(clicks, views, ["quote"], tolerance_ms=2 * DAY, width_ms=DAY, tie=["event_id"])
+    return out.na.fill(-1, ["quote_time"])
 
 
 @query("expire", sql(TICKS, f"SELECT symbol, t AS event_time, price, qty AS volume, id FROM ticks WHERE t > {CUT - DAY}"))

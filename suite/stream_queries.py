@@ -80,7 +80,7 @@ def stream_ohlcv(spark, sf):
 
 @query(
     "stream_trades",
-    sql(TICKS, "SELECT symbol, t AS event_time, id AS agg_trade_id, price, CAST(epoch_ms(t) AS DATE) AS day, TRUE AS stamped FROM ticks"),
+    sql(TICKS, "SELECT symbol, t AS event_time, id AS agg_trade_id, price, CAST(CAST(epoch_ms(t) AS DATE) AS VARCHAR) AS day, TRUE AS stamped FROM ticks"),
 )
 def stream_trades(spark, sf):
     root = work_dir(spark)
@@ -89,7 +89,7 @@ def stream_trades(spark, sf):
     stream = streams.trade_stream(topics.read_topic(spark, root, "crypto_trades", files_per_trigger=FILES))
     out = finished(with_day(stream, "trade_time"), spark)
     return out.select(
-        "symbol", "event_time", "agg_trade_id", "price", "day", (F.unix_millis("trade_timestamp") == F.col("trade_time")).alias("stamped")
+        "symbol", "event_time", "agg_trade_id", "price", F.col("day").cast("string").alias("day"), (F.unix_millis("trade_timestamp") == F.col("trade_time")).alias("stamped")
     )
 
 

@@ -33,12 +33,12 @@ def stored_klines(spark, sf, interval="1h"):
 
 @query(
     "table_roundtrip",
-    sql(C1H, f"SELECT {STORED_SQL}, TRUE AS stamped, CAST(epoch_ms(open_time) AS DATE) AS day FROM c1h"),
+    sql(C1H, f"SELECT {STORED_SQL}, TRUE AS stamped, CAST(CAST(epoch_ms(open_time) AS DATE) AS VARCHAR) AS day FROM c1h"),
 )
 def table_roundtrip(spark, sf):
     out = spark.table(stored_klines(spark, sf))
     same = F.unix_millis("kline_timestamp") == F.col("kline_start")
-    return out.select(*STORED, (same & F.col("ingested_at").isNotNull()).alias("stamped"), "day")
+    return out.select(*STORED, (same & F.col("ingested_at").isNotNull()).alias("stamped"), F.col("day").cast("string").alias("day"))
 
 
 @query(
@@ -122,11 +122,11 @@ def retention(spark, sf):
     return spark.table(name).select(*STORED)
 
 
-@query("retention_days", sql(C1H, f"SELECT DISTINCT CAST(epoch_ms(open_time) AS DATE) AS day FROM c1h WHERE open_time >= {CUT} - 3 * {DAY}"))
+@query("retention_days", sql(C1H, f"SELECT DISTINCT CAST(CAST(epoch_ms(open_time) AS DATE) AS VARCHAR) AS day FROM c1h WHERE open_time >= {CUT} - 3 * {DAY}"))
 def retention_days(spark, sf):
     name = stored_klines(spark, sf)
     maintenance.apply_retention(name, spark, as_of=CUT, days=3)
-    return spark.sql(f"SHOW PARTITIONS {name}").select(F.split("partition", "=")[1].cast("date").alias("day"))
+    return spark.sql(f"SHOW PARTITIONS {name}").select(F.split("partition", "=")[1].alias("day"))
 
 
 @query("compact", sql(C1H, f"SELECT {STORED_SQL}, 1 AS files FROM c1h"))
