@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlelake.llm.mixing import plan_mix
+from candlelake.llm.near_dedup import near_duplicates
 from candlelake.llm.repeats import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +36,14 @@ def op1_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op2_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op3_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    plan = plan_mix(table(spark, sf, "documents"), [5, 2, 1])
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.get("readings", F.lit(0))["position"].alias("position")).sort("position", "doc_id")
