@@ -23,11 +23,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def cycle_weights(sources: DataFrame, source_col: str, weights: list[float]) -> DataFrame:
-    """Weights dealt to the distinct sources in code point order, null last, repeating. One row per source."""
+Weight = float | tuple[float, float, float]
+
+
+def cycle_weights(sources: DataFrame, source_col: str, weights: list[Weight]) -> DataFrame:
+    """Weights dealt to the distinct sources in code point order, null last, repeating. One row per source.
+
+    A weight is a number, or (weight, start, end) with its relative height at the start and the end of training.
+    """
+    full = [w if isinstance(w, tuple) else (w, 1.0, 1.0) for w in weights]
     order = Window.orderBy(F.col(source_col).asc_nulls_last())
     turn = (F.row_number().over(order) - 1) % len(weights)
-    return sources.select(source_col).distinct().withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn + 1))
+    return sources.select(source_col).distinct().select(
+        source_col, *[F.element_at(F.array(*[F.lit(float(w[i])) for w in full]), turn + 1).alias(n) for i, n in enumerate(("weight", "start", "end"))]
+    )
 
 
 def source_targets(sizes: DataFrame, max_repeats: float = 3.0) -> DataFrame:
@@ -61,7 +70,7 @@ def training_time(done: Column, start: Column, end: Column) -> Column:
     return F.when(F.abs(slope) < 1e-12, done).otherwise((root - start) / slope)
 
 
-def plan_mix(docs: DataFrame, weights: DataFrame | list[float], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3) -> DataFrame:
+def plan_mix(docs: DataFrame, weights: DataFrame | list[Weight], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3) -> DataFrame:
     """How often, and when in training, each document is read.
 
     `weights` is a list dealt to the sources in code point order (null last), or a table (source, weight) with optional
@@ -89,7 +98,7 @@ def order_key(id_col: str, text_col: str, source_col: str) -> Column:
     return F.md5(F.concat_ws("\n", *parts))
 
 
-def _place(slim: DataFrame, weights: DataFrame | list[float], source_col: str, max_repeats: int) -> DataFrame:
+def _place(slim: DataFrame, weights: DataFrame | list[Weight], source_col: str, max_repeats: int) -> DataFrame:
     """One row per unit: __key, __source, size, source_size, target, taken, readings."""
     sizes = slim.groupBy("__source").agg(F.sum("size").alias("source_size"))
     if isinstance(weights, list):
@@ -127,7 +136,7 @@ def _place(slim: DataFrame, weights: DataFrame | list[float], source_col: str, m
     return placed.select("__key", "__source", "size", "source_size", "target", taken, F.slice(places, 1, copies).alias("readings"))
 
 
-def mix_documents(docs: DataFrame, weights: DataFrame | list[float], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: DataFrame | list[Weight], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3) -> DataFrame:
     """The training stream: one row per reading, with the document's columns and `position`, range-sorted by position.
 
     `words` is how many of its first words this reading takes; see `plan_mix`. Input columns called position or words are

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from candlelake.llm.mixing import plan_mix
 from candlelake.llm.near_dedup import near_duplicates
 from candlelake.llm.repeats import remove_repeats
+from candlelake.llm.secret_scan import KINDS, scan_secrets, span_text, train_secret_model
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,7 +44,19 @@ def op2_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
+#: Weights 5, 2, 1; the first kind of source fades out over training and the last comes in.
+MIX = [(5, 1.5, 0.5), (2, 1.0, 1.0), (1, 0.5, 1.5)]
+
+
 @query
 def op3_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    plan = plan_mix(table(spark, sf, "documents"), [5, 2, 1])
+    plan = plan_mix(table(spark, sf, "documents"), MIX)
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.get("readings", F.lit(0))["position"].alias("position")).sort("position", "doc_id")
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = scan_secrets(docs.select("doc_id", "text"), train_secret_model(docs))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["k"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+    return found.select("doc_id", count(0), count(1), count(2), F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("secrets").alias("spans"))
