@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlelake.llm.chat import conversation_digests, format_conversations
+from candlelake.llm.decontamination import contaminated
+from candlelake.llm.html_text import extract_text
 from candlelake.llm.mixing import plan_mix
 from candlelake.llm.near_dedup import near_duplicates
+from candlelake.llm.quality import judge_quality
 from candlelake.llm.repeats import remove_repeats
 from candlelake.llm.secret_scan import KINDS, scan_secrets, span_text, train_secret_model
 
@@ -60,3 +65,31 @@ def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     found = scan_secrets(docs.select("doc_id", "text"), train_secret_model(docs))
     count = lambda kind: F.size(F.filter("base", lambda x: x["k"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("secrets").alias("spans"))
+
+#: A public vocabulary that every worker has at this place.
+TOKENIZER = os.environ.get("CHAT_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], turns.schema)
+    return conversation_digests(format_conversations(turns.unionAll(extra), TOKENIZER), TOKENIZER)
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    judged = judge_quality(table(spark, sf, "documents")).withColumn("base_failed", failed)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.col("kept") & ~F.col("base_failed")).alias("kept"))
+
+
+@query
+def op9_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
