@@ -16,6 +16,7 @@ from candlelake.llm.near_dedup import near_duplicates
 from candlelake.llm.quality import judge_quality
 from candlelake.llm.repeats import remove_repeats
 from candlelake.llm.secret_scan import KINDS, scan_secrets, span_text, train_secret_model
+from candlelake.llm.warc import read_packages, write_packages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +86,20 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.col("kept") & ~F.col("base_failed")).alias("kept"))
 
 
+@query
+def op8_warc_packages(spark: SparkSession, sf: str) -> DataFrame:
+    records = read_packages(write_packages(table(spark, sf, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op8_warc_packages"] = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)"""
+
+
 @query
 def op9_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
