@@ -16,6 +16,7 @@ from candlelake.llm.near_dedup import near_duplicates
 from candlelake.llm.quality import judge_quality
 from candlelake.llm.repeats import remove_repeats
 from candlelake.llm.secret_scan import KINDS, scan_secrets, span_text, train_secret_model
+from candlelake.llm.toxicity import score_toxicity, train_toxicity
 from candlelake.llm.warc import read_packages, write_packages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +80,15 @@ def op5_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     return conversation_digests(format_conversations(turns.unionAll(extra), TOKENIZER), TOKENIZER)
 
 
+@query
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = train_toxicity(docs, table(spark, sf, "labels").filter(fold != 0))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
