@@ -7,7 +7,8 @@ dart belongs to one of `k` coordinates, and the seen dart of lowest rank is the
 there with the probability of their weighted Jaccard similarity. Where a coordinate saw no dart, the limit is doubled.
 
 Bands of coordinates give candidate pairs, exact similarity decides. Groups are never expanded into all pairs: members
-of a bucket are compared with one hub each; only buckets that then still hold different components are compared further.
+of a bucket are compared with one hub each. Buckets that then still hold different components are compared in full, small
+ones by pairs, large ones in blocks inside tasks of bounded size, which return no more links than join the components.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ Batches = Iterator[pa.RecordBatch]
 
 #: Distribution function of the number of darts in a cell of area 1.
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1.0, 21.0)))))
+#: Buckets of up to PAIRED members are expanded into pairs; larger ones meet in blocks of about BLOCK members.
+PAIRED, BLOCK = 16, 512
 _LOW48 = np.uint64((1 << 48) - 1)
 _NO_ID = -(1 << 63)
 
@@ -158,6 +161,59 @@ def _similar(threshold: float) -> Callable[[Batches], Batches]:
     return run
 
 
+def _block_links(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """Links between components, found among the members of one block or between those of two.
+
+    Common shingles are counted by a matrix product, a few thousand shingles at a time. Of the links found only as many
+    are returned as join the components that the group holds.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        block = group.column("block").to_numpy()
+        low = int(group.column("i")[0].as_py())
+        first = np.flatnonzero(block == low)
+        second = first if low == group.column("j")[0].as_py() else np.flatnonzero(block != low)
+        nodes, labels = group.column("node").to_numpy(), group.column("label").to_numpy()
+        data, offsets = ta.flat(group.column("items").combine_chunks())
+        size = np.diff(offsets) // 4
+        value, column, seen = np.unique(data.view(np.uint32), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(size)), size)
+        shared = np.flatnonzero(seen > 1)
+        rank = np.full(len(value), -1)
+        rank[shared] = np.arange(len(shared))
+        column = rank[column]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        common = np.zeros((len(first), len(second)), np.float32)
+        for a in range(0, len(shared), 4096):
+            part = slice(np.searchsorted(column, a), np.searchsorted(column, a + 4096))
+            there = np.zeros((len(size), min(4096, len(shared) - a)), np.float32)
+            there[owner[part], column[part] - a] = 1
+            common += there[first] @ there[second].T
+        good = common >= threshold * (size[first][:, None] + size[second][None, :] - common)
+        x, y = np.nonzero(good & (labels[first][:, None] != labels[second][None, :]) & (common > 0))
+        x, y = first[x], second[y]
+        parent = {int(n): int(n) for n in np.unique(labels)}
+
+        def root(n: int) -> int:
+            while parent[n] != n:
+                parent[n] = parent[parent[n]]
+                n = parent[n]
+            return n
+
+        names, at = np.unique(labels, return_inverse=True)
+        _, once = np.unique(at[x] * len(names) + at[y], return_index=True)
+        kept = []
+        for n in once.tolist():
+            a, b = root(int(labels[x[n]])), root(int(labels[y[n]]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                kept.append(n)
+        return pa.table({"a": nodes[x[kept]].astype(np.int64), "b": nodes[y[kept]].astype(np.int64)})
+
+    return run
+
+
 def _verified(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     left = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
     return left.join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_similar(threshold), "a long, b long")
@@ -178,7 +234,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
                  .select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", "t.*"))
 
     places = texts.select("node", "weight", F.explode("bands").alias("key"))
-    shared = places.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    shared = places.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
     members = keep(places.join(shared, "key"))
     wanted = members.select("node").distinct().join(texts.select("node", "id", "h1", "h2"), "node")
     items = keep(base.join(wanted, ["id", "h1", "h2"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(_shingle_lists(size), "node long, items binary"))
@@ -198,11 +254,17 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
 
     links = keep(_verified(star(members, "low"), items, threshold))
     rest = still_open(components(links))
-    links = keep(links.unionAll(_verified(star(rest, "high").join(links, ["a", "b"], "left_anti"), items, threshold)))
-    rest = still_open(components(links))
-    left, right = (rest.select("key", F.col("node").alias(n), F.col("label").alias(f"{n}_label"), F.col("weight").alias(f"{n}_weight")) for n in ("a", "b"))
+    sizes = rest.groupBy("key").agg(F.count("*").alias("members"))
+    rest = keep(rest.join(sizes, "key"))
+    few = rest.filter(F.col("members") <= PAIRED)
+    left, right = (few.select("key", F.col("node").alias(n), F.col("label").alias(f"{n}_label"), F.col("weight").alias(f"{n}_weight")) for n in ("a", "b"))
     across = left.join(right, "key").filter((F.col("a_label") < F.col("b_label")) & (F.least("a_weight", "b_weight") >= threshold * F.greatest("a_weight", "b_weight")))
-    links = keep(links.unionAll(_verified(across.select("a", "b").distinct(), items, threshold)))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = rest.filter(F.col("members") > PAIRED).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = dealt.select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).join(items, "node")
+    met = dealt.groupBy("key", "i", "j").applyInArrow(_block_links(threshold), "a long, b long")
+    links = keep(links.unionAll(_verified(across.select("a", "b").distinct(), items, threshold)).unionAll(met))
 
     labels = texts.select("node", "h1", "h2", "id", "n").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = labels.groupBy("label").agg(F.min(F.struct("id", "h1", "h2")).alias("first"), F.sum("n").alias("class_size"))
