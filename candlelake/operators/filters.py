@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from candlelake.functions.text import clean_symbol, is_symbol
 from candlelake.functions.time import day_of, to_timestamp
-from candlelake.schemas import DAY_MS, MAX_RANGE_DAYS
+from candlelake.schemas import DAY_MS
 
 #: Short names of a stored candle and the columns they stand for.
 PACKED = {
@@ -53,9 +53,12 @@ def normalize_symbol(df: DataFrame, symbol: str = "symbol", keep_rejects: bool =
 
 
 def time_range(
-    df: DataFrame, start: int, end: int, time: str = "open_time", max_days: int | None = MAX_RANGE_DAYS
+    df: DataFrame, start: int, end: int, time: str = "open_time", max_days: int | None = None
 ) -> DataFrame:
-    """Rows in ``[start, end)``. A table with a ``day`` column is also pruned to the days in range."""
+    """Rows in ``[start, end)``. A table with a ``day`` column is also pruned to the days in range.
+
+    ``max_days`` refuses longer ranges, as a service may want to (``MAX_RANGE_DAYS``); by default none is too long.
+    """
     if end <= start:
         raise ValueError("end must be greater than start")
     if max_days is not None and end - start > max_days * DAY_MS:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from candlelake.functions.numeric import money_flow, typical_price
 from candlelake.operators.recurrence import affine_scan
-from candlelake.operators.series import CANDLE_CHUNK_ROWS, over_chunks, with_index, with_previous
+from candlelake.operators.series import CANDLE_CHUNK_ROWS, forward_fill, over_chunks, with_index, with_previous
 from candlelake.schemas import interval_millis
 
 KEYS = ["symbol"]
@@ -97,13 +97,16 @@ def rsi(df: DataFrame, interval: str, n: int = 14, scale: int = 2) -> DataFrame:
         moves, KEYS, ORDER, {"_up": "_gain", "_down": "_loss"}, a, _mean_seed(n, a, 1 / n, first=1),
         interval_millis(interval),
     )
-    # A series without any loss so far has a smoothed loss of exactly 0.
+    # Without a change both averages shrink alike and their ratio stays, also where they are too small for a double:
+    # a quiet row has the value of the last row that moved. Before any loss the smoothed loss is exactly 0.
     value = F.when(F.col("_down") == 0, 100.0).otherwise(
         100 - 100 / (1 + F.col("_up") / F.when(F.col("_down") == 0, 1.0).otherwise(F.col("_down")))
     )
+    moved = smooth.withColumn("rsi", F.when((F.col("_gain") > 0) | (F.col("_loss") > 0), value))
     return (
-        smooth.where(F.col("idx") >= n)
-        .withColumn("rsi", F.round(value, scale))
+        forward_fill(moved, KEYS, ORDER, "rsi", _width(interval))
+        .where(F.col("idx") >= n)
+        .withColumn("rsi", F.round(F.coalesce("rsi", F.lit(100.0)), scale))
         .drop("idx", "_gain", "_loss", "_up", "_down")
     )
 

@@ -11,7 +11,7 @@ from candlelake.functions.time import bucket
 from candlelake.operators.candles import current_bar
 from candlelake.operators.filters import require, select_symbols
 from candlelake.operators.series import latest
-from candlelake.schemas import CANDLE_COLUMNS, HISTORY_START_MS, interval_millis
+from candlelake.schemas import CANDLE_COLUMNS, interval_millis
 
 
 def latest_ticker(
@@ -138,8 +138,7 @@ def live_candle(
 
 
 def incremental(new: DataFrame, stored_last: DataFrame, step_ms: int = 60_000, start: int | None = None) -> DataFrame:
-    """Rows of ``new`` from the minute after each symbol's last stored time; a new symbol starts at ``start``."""
-    floor = HISTORY_START_MS if start is None else start
+    """Rows of ``new`` from the minute after each symbol's last stored time; a new symbol starts at ``start``, or with its first row."""
     rows = new.join(stored_last, "symbol", "left")
-    begin = F.coalesce(F.col("last_time") + step_ms, F.lit(floor))
-    return rows.where(F.col("kline_start") >= begin).drop("last_time")
+    begin = F.coalesce(F.col("last_time") + step_ms, F.lit(start).cast("bigint"))
+    return rows.where(begin.isNull() | (F.col("kline_start") >= begin)).drop("last_time")

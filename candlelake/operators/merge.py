@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from candlelake.functions.time import bucket
 from candlelake.operators.series import TICK_CHUNK_MS, last_n, latest, running_max
-from candlelake.schemas import SERIES_CAP, SERIES_CAP_DEFAULT
 
 KEY = ["symbol", "open_time"]
 RANK = "_rank"
@@ -87,13 +86,14 @@ def cap_series(df: DataFrame, rows: int, width_ms: int | None = None) -> DataFra
 
 
 def apply_update(
-    series: DataFrame, update: DataFrame, interval: str, arrival: str = "seq", width_ms: int = TICK_CHUNK_MS
+    series: DataFrame, update: DataFrame, interval: str, arrival: str = "seq", width_ms: int = TICK_CHUNK_MS,
+    cap: int | None = None,
 ) -> DataFrame:
     """Apply live candle updates in order of arrival.
 
     At 1s only a candle newer than everything before it is taken. At other intervals a candle with the
-    newest time so far replaces or extends the series. Anything older is ignored. The series is then
-    capped to the length a chart keeps.
+    newest time so far replaces or extends the series. Anything older is ignored. With ``cap`` only
+    that many newest candles of each symbol stay (a chart keeps ``SERIES_CAP`` at 1s, else ``SERIES_CAP_DEFAULT``).
     """
     newest = series.groupBy("symbol").agg(F.max("open_time").alias("_newest"))
     columns = series.columns
@@ -105,4 +105,4 @@ def apply_update(
         taken.select(*columns, F.col(arrival).cast("bigint").alias("_order"))
     )
     merged = latest(both, KEY, [F.coalesce(F.col("_order"), F.lit(-(2**63)).cast("bigint"))]).drop("_order")
-    return cap_series(merged, SERIES_CAP.get(interval, SERIES_CAP_DEFAULT))
+    return merged if cap is None else cap_series(merged, cap)

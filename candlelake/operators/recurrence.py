@@ -1,9 +1,9 @@
 """Linear recurrences ``y[i] = a * y[i-1] + w(i) * x[i]`` over long series, parallel in time.
 
-Inside a chunk the recurrence has the closed form ``y[j] = a^j * sum(w x a^-i) + a^(j+1) * y_in``, a
-running sum in a window over (symbol, chunk). A chunk hands on one number, its own result for
-``y_in = 0``. The true ``y_in`` of a chunk folds those numbers over the chunks before it, as far back as
-a weight above ``NEGLIGIBLE`` reaches; beyond that a term cannot change a double any more.
+Inside a part of a chunk the recurrence has the closed form ``y[j] = a^j * sum(w x a^-i) + a^(j+1) * y_in``,
+a running sum in a window over (symbol, chunk, part). A part is at most ``chunk_rows`` rows by position, however
+dense the series is in time. It hands on one number, its own result for ``y_in = 0``. The true ``y_in`` of a part
+folds those numbers over the parts before it, as far back as the weight is above 0 as a double.
 """
 
 from __future__ import annotations
@@ -14,16 +14,16 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlelake.operators.series import CANDLE_CHUNK_ROWS, CHUNK, chunk_scan, chunk_window, with_index
+from candlelake.operators.series import CANDLE_CHUNK_ROWS, CHUNK, with_index
 
-#: Weight below which an earlier chunk is left out of the fold.
-NEGLIGIBLE = 1e-40
+#: The smallest double: the weight of anything further back is exactly 0.
+SMALLEST = 5e-324
 #: Largest power ``a^-i`` the running sum may reach.
 MAX_POWER = 1e150
 
 
 def chunk_rows(a: float) -> int:
-    """Rows a chunk may hold so that the running sum stays inside the range of a double."""
+    """Rows a part may hold so that the running sum stays inside the range of a double."""
     if a <= 0:
         return CANDLE_CHUNK_ROWS
     return max(1, min(CANDLE_CHUNK_ROWS, int(math.log(MAX_POWER) / -math.log(a))))
@@ -41,29 +41,32 @@ def affine_scan(
 ) -> DataFrame:
     """Add column ``y`` for each ``y=x`` pair of ``inputs``, and the row's position as ``index``.
 
-    The series holds at most one row per ``step_ms``, which bounds the rows of a chunk. ``weight`` maps
-    the 0-based position to ``w(i)``.
+    Chunks are as wide as ``chunk_rows`` rows at one row per ``step_ms``; a denser series, as with copies, has
+    several parts in a chunk. ``weight`` maps the 0-based position to ``w(i)``.
     """
     if not 0 <= a < 1:
         raise ValueError("the factor must be in [0, 1)")
-    indexed = with_index(df, keys, order, step_ms * chunk_rows(a), index)
+    size = chunk_rows(a)
+    indexed = with_index(df, keys, order, step_ms * size, index)
     w = weight(F.col(index))
     if a == 0:
         out = indexed.withColumns({y: w * F.col(x) for y, x in inputs.items()})
         return out.drop("_pos", CHUNK)
 
-    running = chunk_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    part = [*keys, CHUNK, "_part"]
+    indexed = indexed.withColumns({"_part": F.floor(F.col("_pos") / size), "_pos": F.col("_pos") % size})
+    running = Window.partitionBy(*part).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     pos = F.col("_pos").cast("double")
     base = F.lit(float(a))
     local = indexed.withColumns(
         {f"_{y}": F.pow(base, pos) * F.sum(w * F.col(x) * F.pow(base, -pos)).over(running) for y, x in inputs.items()}
     )
 
-    ends = local.groupBy(*keys, CHUNK).agg(
+    ends = local.groupBy(*part).agg(
         F.count(F.lit(1)).alias("_rows"), *[F.max_by(f"_{y}", "_pos").alias(f"_{y}") for y in inputs]
     )
-    reach = math.ceil(math.log(NEGLIGIBLE) / math.log(a)) + chunk_rows(a)
-    upto = ends.withColumn("_end", F.sum("_rows").over(chunk_scan(keys)))
+    reach = math.ceil(math.log(SMALLEST) / math.log(a)) + size
+    upto = ends.withColumn("_end", F.sum("_rows").over(Window.partitionBy(*keys).orderBy(CHUNK, "_part")))
     near = Window.partitionBy(*keys).orderBy("_end").rangeBetween(-reach, -1)
     parts = F.collect_list(F.struct("_end", *[f"_{y}" for y in inputs])).over(near)
     start = F.col("_end") - F.col("_rows")
@@ -77,8 +80,8 @@ def affine_scan(
 
     carry = (
         upto.withColumns({"_parts": parts, "_start": start})
-        .select(*keys, CHUNK, *[fold(y).alias(f"_in_{y}") for y in inputs])
+        .select(*part, *[fold(y).alias(f"_in_{y}") for y in inputs])
     )
-    joined = local.join(carry, [*keys, CHUNK])
+    joined = local.join(carry, part)
     out = joined.withColumns({y: F.col(f"_{y}") + F.pow(base, pos + 1) * F.col(f"_in_{y}") for y in inputs})
-    return out.drop("_pos", CHUNK, *[f"_{y}" for y in inputs], *[f"_in_{y}" for y in inputs])
+    return out.drop("_pos", "_part", CHUNK, *[f"_{y}" for y in inputs], *[f"_in_{y}" for y in inputs])

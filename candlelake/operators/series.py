@@ -153,6 +153,22 @@ def running_max(
     )
 
 
+def forward_fill(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, width_ms: int
+) -> DataFrame:
+    """Replace NULLs in ``column`` by the last value before them in the series."""
+    base = chunked(df, order, width_ms)
+    before = chunk_scan(keys).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        base.groupBy(*keys, CHUNK)
+        .agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(*order))).alias("_end"))
+        .select(*keys, CHUNK, F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    )
+    local = F.last(column, ignorenulls=True).over(chunk_window(keys, order).rowsBetween(Window.unboundedPreceding, 0))
+    filled = base.withColumn(column, local).join(carry, [*keys, CHUNK])
+    return filled.withColumn(column, F.coalesce(column, "_carry")).drop(CHUNK, "_carry")
+
+
 def last_n(
     df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str], width_ms: int | None = None
 ) -> DataFrame:

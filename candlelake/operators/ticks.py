@@ -89,18 +89,19 @@ def asof_quote(
         .where(F.col("_asked") & F.col("_carry").isNotNull())
         .select("symbol", CHUNK, F.col("_carry.quote_time").alias(time), F.col("_carry").alias("_quote"))
     )
-    order_in = [F.col(c).cast("bigint") for c in tie]
-    no_tie = [F.lit(None).cast("bigint") for _ in tie]
+    ranked = quotes.select(F.struct(*[F.col(c) for c in tie] or [F.lit(0).alias("none")]).alias("t"))
+    no_tie = F.lit(None).cast(ranked.schema["t"].dataType)
+    order_in = F.struct(*[F.col(c) for c in tie] or [F.lit(0).alias("none")]).cast(ranked.schema["t"].dataType)
     kind = ["symbol", CHUNK, time]
     events = (
-        trade_kind.select(*kind, F.struct(*trades.columns).alias("_trade"), F.array(*no_tie).alias("_tie"))
+        trade_kind.select(*kind, F.struct(*trades.columns).alias("_trade"), no_tie.alias("_tie"))
         .withColumns({"_quote": F.lit(None).cast(last.schema["_quote"].dataType), "_last": F.lit(1)})
         .unionByName(
-            quote_kind.select(*kind, quote_row.alias("_quote"), F.array(*order_in).alias("_tie"), F.lit(0).alias("_last")),
+            quote_kind.select(*kind, quote_row.alias("_quote"), order_in.alias("_tie"), F.lit(0).alias("_last")),
             allowMissingColumns=True,
         )
         .unionByName(
-            carry.withColumns({"_tie": F.lit(None).cast("array<bigint>"), "_last": F.lit(0)}), allowMissingColumns=True
+            carry.withColumns({"_tie": no_tie, "_last": F.lit(0)}), allowMissingColumns=True
         )
     )
     filled = events.withColumn(

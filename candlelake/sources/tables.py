@@ -102,15 +102,25 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str],
     """Merge rows into a partitioned table: one row per key, the one with the highest order.
 
     Only partitions that the new rows touch are read and rewritten. The partition must be a function of
-    the key. Stored rows lose ties against new ones, so a replayed batch leaves the table as it was.
+    the key. Stored rows lose ties against new ones, so a replayed batch leaves the table as it was. Columns that
+    the batch lacks keep their stored values, also in rows that it replaces; columns that the table lacks are added.
     """
     spark = df.sparkSession
+    kept: list[str] = []
     new = df.withColumn("_new", F.lit(1))
     if _exists(spark, path):
         touched = [r[0] for r in df.select(part).distinct().collect()]  # partition values, not rows
-        stored = spark.read.schema(df.schema).parquet(path).where(F.col(part).isin(touched))
-        new = new.unionByName(stored.withColumn("_new", F.lit(0)))
+        stored = spark.read.option("mergeSchema", "true").parquet(path).where(F.col(part).isin(touched))
+        changed = [c for c in df.columns if c in stored.columns and c != part and stored.schema[c].dataType != df.schema[c].dataType]
+        if changed:
+            raise ValueError(f"columns {changed} have another type in the table")
+        kept = [c for c in stored.columns if c not in df.columns]
+        stored = stored.withColumn(part, F.col(part).cast(df.schema[part].dataType))
+        new = new.unionByName(stored.withColumn("_new", F.lit(0)), allowMissingColumns=True)
     merged = latest(new, [*keys, part], [*order, "_new"]).drop("_new")
+    if kept:
+        old = stored.select(*keys, part, *[F.col(c).alias(f"_{c}") for c in kept])
+        merged = merged.join(old, [*keys, part], "left").withColumns({c: F.coalesce(c, f"_{c}") for c in kept}).drop(*[f"_{c}" for c in kept])
     replace_partitions(merged, path, part, *keys)
 
 

@@ -184,7 +184,7 @@ def test_apply_update_ignores_older_candles(candles, interval, times):
 def test_apply_update_caps_the_series(candles):
     series = candles([(i * 1000, 1, 1, 1, 1, 1) for i in range(130)])
     update = candles([(130_000, 2, 2, 2, 2, 2)]).withColumn("seq", F.lit(1).cast("bigint"))
-    out = values(merge.apply_update(series, update, "1s"), "open_time")
+    out = values(merge.apply_update(series, update, "1s", cap=120), "open_time")
     assert len(out) == 120 and out[-1] == (130_000,)
 
 

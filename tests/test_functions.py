@@ -107,7 +107,7 @@ def test_time_range_is_half_open_and_checked(spark, candles):
     with pytest.raises(ValueError):
         filters.time_range(df, 20, 20)
     with pytest.raises(ValueError):
-        filters.time_range(df, 0, 400 * schemas.DAY_MS)
+        filters.time_range(df, 0, 400 * schemas.DAY_MS, max_days=365)
 
 
 def test_time_range_prunes_days(spark, tmp_path):

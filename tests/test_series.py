@@ -382,3 +382,40 @@ def test_recent_ticks_collapse_equal_pairs(spark):
 def test_tick_members(spark):
     df = spark.createDataFrame([("1.5:2",), ("3",), ("4:x",)], "member string")
     assert [tuple(r) for r in T.parse_tick_member(df).collect()] == [(1.5, 2.0), (3.0, 0.0), (4.0, 0.0)]
+
+
+def _plain_rsi(closes, n=14):
+    changes = [b - a for a, b in zip(closes, closes[1:], strict=False)]
+    up = sum(max(c, 0) for c in changes[:n]) / n
+    down = sum(max(-c, 0) for c in changes[:n]) / n
+    out = [(up, down)]
+    for c in changes[n:]:
+        up, down = (up * (n - 1) + max(c, 0)) / n, (down * (n - 1) + max(-c, 0)) / n
+        out.append((up, down))
+    return [100.0 if d == 0 else round(100 - 100 / (1 + u / d), 2) for u, d in out]
+
+
+def test_rsi_of_a_series_that_falls_quiet(candles):
+    from candlelake.operators.indicators import rsi
+
+    moving = [50 + (i * 37 % 11) - (i * 17 % 7) for i in range(60)]
+    closes = moving + [moving[-1]] * 20_000
+    df = candles([(i * 60_000, c, c, c, c, 1) for i, c in enumerate(closes)])
+    out = [r["rsi"] for r in rsi(df, "1m").orderBy("open_time").select("rsi").collect()]
+    expected = _plain_rsi(closes[:2000])
+    assert len(out) == len(closes) - 14
+    assert max(abs(a - b) for a, b in zip(out, expected, strict=False)) <= 0.011
+    assert set(out[60:]) == {out[60]}  # the ratio of the averages does not change any more
+
+
+def test_ema_of_a_series_with_copies(candles):
+    from candlelake.operators.indicators import ema
+
+    rows = [(i // 5 * 60_000, 1 + i % 7, 9, 0, 1 + i // 5 % 7, 1) for i in range(6000)]
+    out = [r["ema12"] for r in ema(candles(rows), "1m", 12).orderBy("open_time").select("ema12").collect()]
+    y, expected = None, []
+    for r in rows:
+        y = r[4] if y is None else y * 11 / 13 + r[4] * 2 / 13
+        expected.append(round(y, 8))
+    assert len(out) == len(rows)
+    assert max(abs(a - b) for a, b in zip(sorted(out), sorted(expected), strict=True)) < 1e-7

@@ -190,3 +190,14 @@ def test_cut_goes_to_the_checkpoint_folder(spark):
     df = cut(spark.range(5).withColumn("x", F.rand()))
     assert df.collect() == df.collect()
     assert df.sparkSession.sparkContext.getCheckpointDir() is not None
+
+
+def test_upsert_keeps_columns_that_a_batch_lacks(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    full = spark.createDataFrame([("A", 0, 1.0, 5.0), ("B", 0, 2.0, 6.0)], "symbol string, open_time bigint, close double, volume double")
+    tables.upsert_series(full, path, ["close"])
+    tables.upsert_series(full.where("symbol = 'A'").drop("volume").withColumn("close", F.lit(9.0)), path, ["close"])
+    out = {r["symbol"]: (r["close"], r["volume"]) for r in spark.read.parquet(path).collect()}
+    assert out == {"A": (9.0, 5.0), "B": (2.0, 6.0)}
+    with pytest.raises(ValueError):
+        tables.upsert_series(full.withColumn("volume", F.lit("x")), path, ["close"])
