@@ -108,34 +108,6 @@ def klines(
     if size >= interval_millis("1h"):
         base = fill_from_hourly(base, before(hourly, upto))
     out = base if interval == "1m" else resample(base, interval, unique=True)
-    return _newest(out.where((F.col("open_time") >= start) & (F.col("open_time") < end)), interval, limit)
-
-
-def klines(
-    hot: DataFrame,
-    warm: DataFrame,
-    cold: DataFrame,
-    hourly: DataFrame,
-    ticker: DataFrame,
-    interval: str,
-    limit: int,
-    as_of: int,
-    end: int | None = None,
-    arrival: str = "open_time",
-) -> DataFrame:
-    """The newest ``limit`` candles of an interval, before ``end`` or as of now with the live ticker applied."""
-    size = interval_millis(interval)
-    if interval == "1s":
-        rows = best_by_volume(hot if end is None else before(hot, end), arrival)
-        return _newest(rows, interval, limit)
-    cutoff = retention_cutoff(as_of)
-    if end is None:
-        base = _last_buckets(merge_candles(warm.where(F.col("open_time") >= cutoff)), size, limit)
-    else:
-        base = collect_base(warm, cold, interval, limit, end, cutoff)
-        if size >= interval_millis("1h"):
-            base = fill_from_hourly(base, before(hourly, end))
-    out = base if interval == "1m" else resample(base, interval, unique=True)
     if end is not None:
         return _newest(out.where(F.col("open_time") < end), interval, limit)
     if interval != "1m":

@@ -205,9 +205,9 @@ def test_historical_checks_and_falls_back(candles):
     out = P.historical(none, none, hourly, "4h", 0, 8 * hour, 0)
     assert values(out, "open_time", "volume") == [(0, 4), (4 * hour, 4)]
     assert P.historical(none, none, hourly, "15m", 0, 8 * hour, 0).count() == 0
-    for bad in ((hour, hour), (0, 400 * 24 * hour)):
-        with pytest.raises(ValueError):
-            P.historical(none, none, hourly, "1h", *bad, 0)
+    assert P.historical(none, none, hourly, "1h", 0, 400 * 24 * hour, 0).count() == 8
+    with pytest.raises(ValueError):
+        P.historical(none, none, hourly, "1h", hour, hour, 0)
     with pytest.raises(ValueError):
         P.historical(none, none, hourly, "1s", 0, hour, 0)
 
@@ -240,3 +240,11 @@ def test_klines_before_an_end(candles, spark):
     assert values(out) == [(0, 10, 22, 8, 19, 450)]
     out = klines(candles, spark, [], interval="1m", limit=2)
     assert values(out, "open_time") == [(2 * M,), (5 * M,)]
+
+
+def test_live_klines_reach_into_the_cold_tier(candles, spark):
+    day = 24 * 60 * M
+    old = candles([(i * day, 1, 2, 0, 1, 1) for i in range(200)])
+    quotes = spark.createDataFrame([("BTCUSDT", 1.0, 0)], "symbol string, price double, event_time bigint")
+    out = P.klines(old, old.where(f"open_time >= {110 * day}"), old, old.where("false"), quotes, "1w", 25, 199 * day + M)
+    assert out.where("open_time >= 0").count() == 25
