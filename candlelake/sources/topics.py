@@ -12,6 +12,8 @@ from candlelake.schemas import DEPTH, KLINE, TICKER, TRADE
 TOPICS = {"crypto_ticker": TICKER, "crypto_trades": TRADE, "crypto_klines": KLINE, "crypto_depth": DEPTH}
 MAGIC = 0
 HEADER_BYTES = 5
+# The most a micro-batch takes in where the caller sets no bound.
+BYTES_PER_TRIGGER = "1g"
 
 
 def read_stream(
@@ -22,10 +24,16 @@ def read_stream(
     files_per_trigger: int | None = None,
     **options: str,
 ) -> DataFrame:
-    """Stream of the files that land under a path, with declared columns and a bounded intake."""
+    """Stream of the files that land under a path, with declared columns and a bounded intake.
+
+    A micro-batch takes ``files_per_trigger`` files, or what an intake option names, or else a gigabyte of files. So the
+    first batch over a long history is no larger than any other.
+    """
     reader = spark.readStream.format(file_format).schema(schema).options(**options)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    elif not {"maxfilespertrigger", "maxbytespertrigger"} & {name.lower() for name in options}:
+        reader = reader.option("maxBytesPerTrigger", BYTES_PER_TRIGGER)
     return reader.load(path)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,7 +96,11 @@ def stream_rollup(
 
 
 class Indicators(StatefulProcessor):
-    """sma20, sma50, ema12 and ema26 of closed candles; keeps the last 50 closes and both averages."""
+    """sma20, sma50, ema12 and ema26 of closed candles; keeps the last 50 closes, both averages and the last time.
+
+    A candle at or before the last time was counted already, or came too late to be counted: it changes nothing and
+    gives no row.
+    """
 
     PERIODS = (12, 26)
     KEEP = 50
@@ -106,9 +111,15 @@ class Indicators(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.closes = handle.getValueState("closes", "closes array<double>")
         self.averages = handle.getValueState("averages", "ema12 double, ema26 double")
+        self.last = handle.getValueState("last", "time bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _gather(rows, "open_time")
+        pdf = _gather(rows, "open_time").drop_duplicates("open_time")
+        if self.last.exists():
+            pdf = pdf[pdf["open_time"] > self.last.get()[0]]
+        if pdf.empty:
+            return
+        self.last.update((int(pdf["open_time"].iloc[-1]),))
         closes = list(self.closes.get()[0]) if self.closes.exists() else []
         emas = list(self.averages.get()) if self.averages.exists() else None
         out = []
@@ -149,21 +160,30 @@ def stream_throttle(df: DataFrame, heartbeat_ms: int = HEARTBEAT_MS) -> DataFram
 
         def handleInputRows(self, key, rows, timerValues):
             pdf = _gather(rows, "event_time")
-            price, time = self.sent.get() if self.sent.exists() else (None, None)
-            reasons = []
-            for p, t in zip(pdf["price"], pdf["event_time"]):
-                if price is None or p != price:
-                    reason = "change"
-                elif t - time >= heartbeat_ms:
-                    reason = "heartbeat"
-                else:
-                    reason = None
-                if reason:
-                    price, time = float(p), int(t)
-                reasons.append(reason)
-            self.sent.update((price, time))
-            pdf["reason"] = reasons
-            yield pdf[pdf["reason"].notna()]
+            price, time = pdf["price"].to_numpy("float64"), pdf["event_time"].to_numpy("int64")
+            known = self.sent.exists()
+            last_price, last_time = self.sent.get() if known else (np.nan, 0)
+            # The price sent last is always the price before, since every change is sent.
+            change = price != np.concatenate(([last_price], price[:-1]))
+            change[0] |= not known
+            reason = np.where(change, "change", None)
+            # Runs of one price; the first may go on from the batch before. Only those of a heartbeat's length are walked.
+            begins = np.flatnonzero(np.concatenate(([True], change[1:])))
+            ends = np.append(begins[1:], len(price))
+            anchors = time[begins]
+            if not change[0]:
+                anchors[0] = last_time
+            for begin, end, anchor in zip(begins, ends, anchors):
+                at = begin
+                if time[end - 1] - anchor < heartbeat_ms:
+                    continue
+                while (at := at + np.searchsorted(time[at:end], anchor + heartbeat_ms)) < end:
+                    reason[at], anchor = "heartbeat", time[at]
+            pdf["reason"] = reason
+            out = pdf[pdf["reason"].notna()]
+            if len(out):
+                self.sent.update((float(price[out.index[-1]]), int(time[out.index[-1]])))
+            yield out
 
         def close(self) -> None:
             pass
@@ -188,12 +208,10 @@ class LiveCandle(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _gather(rows, "event_time")
-        last = tuple(self.sent.get()) if self.sent.exists() else None
-        keep = []
-        for values in pdf[self.FIELDS].itertuples(index=False, name=None):
-            keep.append(values != last)
-            last = values
-        self.sent.update((int(last[0]), *[float(x) for x in last[1:]]))
+        values = pdf[self.FIELDS].to_numpy("float64")
+        before = list(self.sent.get()) if self.sent.exists() else [np.nan] * len(self.FIELDS)
+        keep = (values != np.vstack((before, values[:-1]))).any(axis=1)
+        self.sent.update((int(values[-1][0]), *values[-1][1:].tolist()))
         yield pdf.loc[keep, ["symbol", "event_time", *self.FIELDS]]
 
     def close(self) -> None:

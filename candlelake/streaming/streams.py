@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from candlelake.functions.time import to_timestamp
 from candlelake.operators.filters import closed_only, require
@@ -115,12 +116,35 @@ def fan_out(
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows a query dropped so far because they came after the watermark."""
+    """Rows a query dropped because they came after the watermark, in the progress entries Spark still holds."""
     return sum(
         op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"]
     )
 
 
+class LateRows(StreamingQueryListener):
+    """Late rows of every query for as long as the session runs: ``spark.streams.addListener(LateRows())``.
+
+    Spark holds the newest progress entries only; this keeps the sum, by query id.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: Counter[str] = Counter()
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        self.dropped[str(progress.id)] += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def expire(df: DataFrame, ttl_ms: int, as_of: int, time: str = "event_time") -> DataFrame:
     """Rows not older than their time to live at ``as_of``."""
     return df.where(F.col(time) > as_of - ttl_ms)

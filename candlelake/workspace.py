@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession) -> str:
     """A new folder name under the shared folder of ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as on a single machine, a temporary folder is used.
+    On a single machine a temporary folder stands in where that setting is absent; a cluster must have it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="candlelake-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="candlelake-")
     return f"{base.rstrip('/')}/candlelake-{uuid.uuid4().hex}"
 
 

@@ -143,10 +143,10 @@ def last_per_window(spark, sf):
 
 @query(
     "last_time",
-    sql(C1H, f"SELECT symbol, max(open_time) AS last_time FROM c1h WHERE open_time < {SPLIT} GROUP BY symbol"),
+    sql(C1H, "SELECT symbol, max(open_time) AS last_time FROM c1h GROUP BY symbol"),
 )
 def last_time(spark, sf):
-    return C.last_time(klines(spark, sf).where(F.col("kline_start") < SPLIT))
+    return C.last_time(klines(spark, sf))
 
 
 @query(
@@ -300,14 +300,14 @@ def best_by_volume(spark, sf):
     sql(
         C1H,
         f"""live AS (SELECT {OHLCV} FROM c1h WHERE open_time >= {SPLIT} AND symbol <> 'view')""",
-        f"""SELECT * FROM live UNION ALL SELECT {OHLCV} FROM c1h c WHERE c.open_time < {SPLIT + DAY}
-        AND c.open_time < coalesce((SELECT min(open_time) FROM live l WHERE l.symbol = c.symbol), {END * 2})""",
+        f"""SELECT * FROM live UNION ALL SELECT {OHLCV} FROM c1h c
+        WHERE c.open_time < coalesce((SELECT min(open_time) FROM live l WHERE l.symbol = c.symbol), {END * 2})""",
     ),
 )
 def prepend_older(spark, sf):
     rows = candles(spark, sf).select(*OHLCV_COLUMNS)
     live = rows.where((F.col("open_time") >= SPLIT) & (F.col("symbol") != "view"))
-    return merge.prepend_older(live, rows.where(F.col("open_time") < SPLIT + DAY))
+    return merge.prepend_older(live, rows)
 
 
 @query(
@@ -486,10 +486,11 @@ def select_symbols(spark, sf):
 
 @query(
     "closed_only",
-    sql(C1H, TIERS, "SELECT * FROM b WHERE is_closed"),
+    sql(C1H, TIERS, "SELECT * FROM a WHERE is_closed UNION ALL SELECT * FROM b WHERE is_closed"),
 )
 def closed_only(spark, sf):
-    return filters.closed_only(tier_pair(spark, sf)[1])
+    first, second = tier_pair(spark, sf)
+    return filters.closed_only(first.unionByName(second))
 
 
 @query(

@@ -288,16 +288,16 @@ def throttle_summary(spark, sf):
     SELECT t.symbol, t.event_time, t.event_id, t.value AS price,
       CASE WHEN q.event_time >= t.event_time - 172800000 THEN q.event_time ELSE -1 END AS quote_time,
       CASE WHEN q.event_time >= t.event_time - 172800000 THEN q.value END AS quote
-    FROM (SELECT * FROM e WHERE event_type = 'click') t ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'view') q
+    FROM (SELECT * FROM e WHERE event_type <> 'view') t ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'view') q
     ON t.symbol = q.symbol AND t.event_time >= q.event_time""",
 )
 def asof_quote(spark, sf):
     rows = table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("symbol"), epoch_ms("ts").alias("event_time"), "event_type", "event_id", "value"
     )
-    clicks = rows.where(F.col("event_type") == "click").select("symbol", "event_time", "event_id", F.col("value").alias("price"))
+    trades = rows.where(F.col("event_type") != "view").select("symbol", "event_time", "event_id", F.col("value").alias("price"))
     views = rows.where(F.col("event_type") == "view").select("symbol", "event_time", "event_id", F.col("value").alias("quote"))
-    out = T.asof_quote(clicks, views, ["quote"], tolerance_ms=2 * DAY, width_ms=DAY, tie=["event_id"])
+    out = T.asof_quote(trades, views, ["quote"], tolerance_ms=2 * DAY, width_ms=DAY, tie=["event_id"])
     return out.na.fill(-1, ["quote_time"])
 
 
@@ -506,7 +506,7 @@ def book_ladder(spark, sf):
         LINES,
         """b AS (SELECT 'NATION_' || l_suppkey AS symbol, p - 0.5 AS best_bid, CASE WHEN l_linenumber < 7 THEN p + 0.5 ELSE 0 END AS best_ask,
         CASE WHEN l_linenumber < 7 THEN round((p + 0.5) - (p - 0.5), 8) ELSE 0 END AS spread, event_time,
-        CAST(l_linenumber AS INT) AS bids FROM l WHERE newest = 1 AND l_suppkey >= 10)""",
+        CAST(l_linenumber AS INT) AS bids FROM l WHERE newest = 1)""",
         """SELECT symbol, best_bid, best_ask, spread, event_time, bids FROM b
         UNION ALL SELECT symbol, bid, ask, round(ask - bid, 8), event_time, 1 FROM tk WHERE bid > 0 AND ask > 0 AND symbol NOT IN (SELECT symbol FROM b)""",
     ),
@@ -516,7 +516,7 @@ def book_or_ticker(spark, sf):
 
     newest = latest(
         books(spark, sf), ["symbol"], ["event_time", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_partkey"]
-    ).where(F.col("symbol").cast("int") >= 10)
+    )
     book_rows = book.book_metrics(newest).withColumn("symbol", F.concat(F.lit("NATION_"), "symbol"))
     out = book.book_or_ticker(book_rows, latest_nation_tickers(spark, sf))
     return out.select("symbol", "best_bid", "best_ask", "spread", "event_time", F.size("bids").alias("bids"))

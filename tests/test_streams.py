@@ -174,6 +174,47 @@ def test_indicators_equal_the_batch_form_across_a_restart(spark, feed):
             assert expected is None or abs(r[c] - expected) < 1e-7
 
 
+def test_replayed_and_late_candles_leave_indicators_alone(spark, feed):
+    ddl = "symbol string, open_time bigint, close double"
+    rows = [("A", i * M, c) for i, c in enumerate([1.0, 2.0, 3.0, 4.0])]
+    f = feed(ddl)
+    f.land(rows[:2] + rows[:1])
+    f.land([rows[0], rows[1]])
+    f.land([rows[1], rows[2]])
+    f.land([rows[0], rows[3]])
+    out = f.run(stateful.stream_indicators)
+    want = {r["timestamp"]: r["ema12"] for r in indicator_table(spark.createDataFrame(rows, ddl)).collect()}
+    got = [(r["timestamp"], r["ema12"]) for r in out.collect()]
+    assert sorted(t for t, _ in got) == sorted(want)
+    assert all(abs(ema - want[t]) < 1e-7 for t, ema in got)
+
+
+def test_late_rows_are_summed_over_all_progress():
+    from types import SimpleNamespace as Entry
+
+    listener = streams.LateRows()
+    for dropped in [2] + [1] * 200:
+        listener.onQueryProgress(Entry(progress=Entry(id="q", stateOperators=[Entry(numRowsDroppedByWatermark=dropped)])))
+    assert listener.dropped == {"q": 202}
+
+
+@pytest.mark.parametrize("density", [0.02, 0.3, 1.0])
+def test_throttle_across_batches(spark, feed, density):
+    rng = random.Random(int(density * 100))
+    ddl = "symbol string, event_time bigint, price double"
+    rows = [(s, t, float(rng.random() < density * 0.5)) for t in sorted(rng.sample(range(0, 200_000), 120)) for s in "AB"]
+    f = feed(ddl)
+    for part in batches(rows, 7):
+        f.land(part)
+    out = f.run(lambda s: stateful.stream_throttle(s, 9_000))
+    sent, want = {}, []
+    for s, t, p in rows:
+        if s not in sent or sent[s][0] != p or t - sent[s][1] >= 9_000:
+            want.append((s, t, p, "heartbeat" if s in sent and sent[s][0] == p else "change"))
+            sent[s] = (p, t)
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
 def test_throttle_equals_the_batch_form(spark, feed):
     rng = random.Random(7)
     ddl = "symbol string, event_time bigint, price double"
