@@ -15,6 +15,7 @@ import hashlib
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,15 +64,23 @@ class Template:
     def decode(self, ids: list[int]) -> str:
         return self.tokenizer.decode(ids, skip_special_tokens=False) if ids else ""
 
-    def turn(self, role: list[int], text: list[int], learned: bool) -> tuple[list[int], np.ndarray]:
-        """Ids of a turn, and its mask: the running sum of +1 where the learned segment begins and -1 where it ends."""
-        ids = [self.first + HEAD, *role, self.first + BODY, *text, self.first + CLOSE]
-        begin = np.cumsum([1, len(role), 1, len(text)])[2:]
+    def decode_all(self, pieces: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(pieces, skip_special_tokens=False) if pieces else []
+
+    def turns(self, roles: list[list[int]], texts: list[list[int]], learned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of some turns one after the other, their bounds, and the mask.
+
+        The mask is the running sum of +1 where a learned segment begins and -1 where it ends.
+        """
+        head, body, close = ([self.first + mark] for mark in (HEAD, BODY, CLOSE))
+        ids = np.fromiter(chain.from_iterable(chain(head, r, body, t, close) for r, t in zip(roles, texts, strict=True)), np.int32)
+        role_size, text_size = (np.array([len(x) for x in c], np.int64) for c in (roles, texts))
+        bounds = np.concatenate(([0], np.cumsum(role_size + text_size + 3)))
+        begin = bounds[:-1] + 2 + role_size
         edge = np.zeros(len(ids) + 1, np.int8)
-        if learned:
-            edge[begin[0]] += 1
-            edge[begin[1]] -= 1
-        return ids, np.cumsum(edge[:-1], dtype=np.int8)
+        np.add.at(edge, begin[learned], 1)
+        np.add.at(edge, (begin + text_size)[learned], -1)
+        return ids, bounds, np.cumsum(edge[:-1], dtype=np.int8)
 
     def parts(self, ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(mark, places of the ids that follow it) for every mark in a sequence."""
@@ -82,6 +91,16 @@ class Template:
         return "".join(MARKS[mark] + self.decode(ids[places].tolist()) for mark, places in self.parts(ids))
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all lists of a column one after the other, and their bounds."""
+    bounds = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), bounds - bounds[0]
+
+
+def _list_column(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
+
 def _encode(path: str, learned_role: str) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         template = Template.load(path)
@@ -89,10 +108,12 @@ def _encode(path: str, learned_role: str) -> Callable[[Batches], Batches]:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 roles, texts = ([x or "" for x in part.column(c).to_pylist()] for c in ("role", "text"))
-                role_ids, text_ids = (template.encode([escape(x) for x in c]) for c in (roles, texts))
-                turns = [template.turn(r, t, role == learned_role) for r, t, role in zip(role_ids, text_ids, roles, strict=True)]
+                names = sorted(set(roles))
+                named = dict(zip(names, template.encode([escape(x) for x in names]), strict=True))
+                learned = np.array([r == learned_role for r in roles], bool)
+                ids, bounds, mask = template.turns([named[r] for r in roles], template.encode([escape(x) for x in texts]), learned)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("conv"), part.column("turn"), part.column("tie"), pa.array([t[0] for t in turns], pa.list_(pa.int32())), pa.array([t[1] for t in turns], pa.list_(pa.int8()))],
+                    [part.column("conv"), part.column("turn"), part.column("tie"), _list_column(ids, bounds), _list_column(mask, bounds)],
                     names=["conv", "turn", "tie", "ids", "mask"])
 
     return run
@@ -105,18 +126,22 @@ def _assemble(path: str) -> Callable[[Batches], Batches]:
         opening = Template.load(path).first + OPEN
         before, place, offset = object(), 0, 0
         for batch in batches:
-            rows = []
-            for conv, ids, mask in zip(batch.column("conv").to_pylist(), batch.column("ids").to_pylist(), batch.column("mask").to_pylist(), strict=True):
-                if conv != before:
-                    before, place, offset = conv, 0, 0
-                    ids, mask = [opening, *ids], [0, *mask]
-                rows.append((place, offset, ids, mask))
-                place, offset = place + 1, offset + len(ids)
-            if rows:
-                places, offsets, ids, masks = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("conv"), batch.column("turn"), pa.array(places, pa.int64()), pa.array(offsets, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))],
-                    names=["conv", "turn", "place", "token_offset", "ids", "loss_mask"])
+            if not batch.num_rows:
+                continue
+            convs = batch.column("conv").to_pylist()
+            (ids, bounds), (mask, _) = _lists(batch.column("ids")), _lists(batch.column("mask"))
+            fresh = np.array([a != b for a, b in zip(convs, [before, *convs[:-1]], strict=True)], bool)
+            ids, mask = np.insert(ids, bounds[:-1][fresh], opening), np.insert(mask, bounds[:-1][fresh], 0)
+            bounds = np.concatenate(([0], np.cumsum(np.diff(bounds) + fresh)))
+            # The row its conversation begins with; -1 where that lies in a batch before this one.
+            row = np.arange(len(convs))
+            begin = np.maximum.accumulate(np.where(fresh, row, -1))
+            places = np.where(begin < 0, place + row, row - begin)
+            offsets = np.where(begin < 0, offset + bounds[:-1], bounds[:-1] - bounds[begin])
+            before, place, offset = convs[-1], int(places[-1]) + 1, int(offsets[-1] + bounds[-1] - bounds[-2])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("conv"), batch.column("turn"), pa.array(places, pa.int64()), pa.array(offsets, pa.int64()), _list_column(ids, bounds), _list_column(mask, bounds)],
+                names=["conv", "turn", "place", "token_offset", "ids", "loss_mask"])
 
     return run
 
@@ -149,23 +174,29 @@ def _digests(path: str) -> Callable[[Batches], Batches]:
                 n, turns, loss, loss_chars, chars = state
                 done.append({"conv": now, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": loss_chars, "loss_sha256": loss.hexdigest(), "formatted_chars": chars})
 
-        for batch in batches:
-            for conv, place, ids, mask in zip(*(batch.column(c).to_pylist() for c in ("conv", "place", "ids", "loss_mask")), strict=True):
-                if place == 0:
+        for part in (batch.slice(a, 1000) for batch in batches for a in range(0, batch.num_rows, 1000)):
+            convs = part.column("conv").to_pylist()
+            (ids, bounds), (mask, _) = _lists(part.column("ids")), _lists(part.column("loss_mask"))
+            # Every row begins with a mark, so the segments after marks never cross rows.
+            at = np.flatnonzero(ids >= template.first)
+            ends = np.append(at[1:], len(ids))
+            marked = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
+            pieces = template.decode_all([ids[a + 1 : b].tolist() for a, b in zip(at, ends, strict=True)])
+            for a, b, row, piece in zip(at.tolist(), ends.tolist(), (np.searchsorted(bounds, at, "right") - 1).tolist(), pieces, strict=True):
+                mark = int(ids[a]) - template.first
+                if mark == OPEN:
                     close()
-                    now, state = conv, [0, hashlib.sha256(), hashlib.sha256(), 0, 0]
-                ids, mask = np.array(ids, np.int64), np.array(mask, bool)
-                for mark, places in template.parts(ids):
-                    piece = template.decode(ids[places].tolist())
-                    state[4] += len(MARKS[mark]) + len(piece)
-                    if mark == HEAD:
-                        state[1].update((unescape(piece) + "\n").encode())
-                    elif mark == BODY:
-                        state[0] += 1
-                        state[1].update((unescape(piece) + "\n").encode())
-                        learned = unescape(template.decode(ids[places[mask[places]]].tolist()))
-                        state[2].update(learned.encode())
-                        state[3] += len(learned)
+                    now, state = convs[row], [0, hashlib.sha256(), hashlib.sha256(), 0, 0]
+                state[4] += len(MARKS[mark]) + len(piece)
+                if mark in (HEAD, BODY):
+                    text = unescape(piece)
+                    state[1].update((text + "\n").encode())
+                if mark == BODY:
+                    state[0] += 1
+                    n = marked[b] - marked[a + 1]
+                    learned = text if n == b - a - 1 else unescape(template.decode(ids[a + 1 : b][mask[a + 1 : b] > 0].tolist()))
+                    state[2].update(learned.encode())
+                    state[3] += len(learned)
             if len(done) >= 1000:
                 yield pa.RecordBatch.from_pylist(done)
                 done.clear()
