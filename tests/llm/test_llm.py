@@ -342,6 +342,45 @@ def test_benchmark_passages_with_edits(spark):
     assert decontamination.contaminated(docs(spark, rows).limit(0), bench.limit(0)).count() == 0
 
 
+def found_in(texts, items, **options):
+    bench = decontamination.Benchmark(list(enumerate(items)), options.get("segment", 100), options.get("rate", 0.08), options.get("q", 10))
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    return decontamination.find_matches(np.frombuffer(data, np.uint8), offsets, bench)
+
+
+def test_quotes_are_found_wherever_they_are_cut():
+    rng = random.Random(8)
+    item = words(rng, 90)[:300]
+    texts, quotes = [], []
+    for a in range(0, 201, 7):
+        quote = list(item[a : a + 100])
+        for k in range(5, 100, 13):
+            quote[k] = "#"
+        quotes += [item[a : a + 100], "".join(quote)]
+    for quote in quotes:
+        texts += ["", words(rng, 30) + "|" + quote + "|" + words(rng, 30)]
+    got = found_in(texts, [item, words(rng, 60)])
+    assert [(r[0], r[1]) for r in got] == [(2 * k + 1, 0) for k in range(len(quotes))]
+    for d, _, start, end, edits, _ in got:
+        at = texts[d].index("|") + 1
+        assert edits == 8 * (d // 2 % 2) and at - 16 <= start <= at and at + 100 <= end <= at + 116
+
+
+@pytest.mark.parametrize("length", [*range(10, 30), 38, 39, 50, 63, 75, 88, 99])
+def test_short_items_are_found_within_their_edits(length):
+    rng = random.Random(length)
+    item = "".join(rng.choice("abcdefghijklmnop") for _ in range(length))
+    k = int(length * 0.08)
+    edited, beyond = list(item), list(item)
+    for n in range(k):
+        edited[(n + 1) * length // (k + 1)] = "#"
+    for n in range(k + 1):
+        beyond[(2 * n + 1) * length // (2 * k + 2)] = "#"
+    got = found_in(["".join(edited), "".join(beyond), item, "x" + item[: length - k] + "y"], [item])
+    assert [(r[0], r[4]) for r in got] == [(0, k), (2, 0), (3, k)]
+
+
 def test_alignment_is_the_edit_distance():
     rng = random.Random(2)
     for _ in range(30):
