@@ -122,7 +122,7 @@ def _place(slim: DataFrame, weights: DataFrame | list[Weight], source_col: str,
     placed = placed.join(slices, F.col("__source").eqNullSafe(F.col("__b")) & (F.col("__slice") == F.col("__c")))
     placed = placed.join(plan, F.col("__source").eqNullSafe(F.col("__p"))).withColumn("__at", F.col("__before") + F.col("__inside"))
 
-    size, whole = F.col("source_size").cast("double"), F.floor(F.col("target") / F.col("source_size"))
+    size, whole = F.col("source_size").cast("double"), F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
     rounds = F.least(whole, F.lit(max_repeats))
     rest = F.floor(F.greatest(F.col("target") - rounds * size, F.lit(0.0))) - F.col("__at")
     extra = F.when(rounds < max_repeats, F.floor(F.greatest(F.least(rest, F.col("__words")), F.lit(0)) / F.col("__n"))).otherwise(0).cast("long")

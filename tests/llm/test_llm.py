@@ -181,6 +181,17 @@ def test_mix_stream_is_sorted_and_empty_tables_work(spark, awkward):
     assert mixing.mix_documents(docs(spark, awkward).limit(0), [1]).count() == 0
 
 
+def test_mix_with_a_source_of_no_words(spark, awkward):
+    key = lambda r: (str(r["doc_id"]), str(r["source"]), r["size"], r["taken"], str(r["target"]), str(r["readings"]))
+    empty = [(80, None, "d"), (81, "", "d"), (82, " \n", "d"), (83, None, "d")]
+    plan = mixing.plan_mix(docs(spark, awkward + empty), spark.createDataFrame([("a", 5.0), ("b", 2.0), ("c", 1.0), ("d", 4.0), (None, 5.0)], "source string, weight double")).collect()
+    none = [r for r in plan if r["source"] == "d"]
+    assert len(none) == 4 and all((r["source_size"], r["target"], r["taken"], r["readings"]) == (0, 0.0, 0, []) for r in none)
+    assert sorted(key(r) for r in plan if r["source"] != "d") == sorted(map(key, mixing.plan_mix(docs(spark, awkward), [5, 2, 1]).collect()))
+    assert {r["source"] for r in mixing.mix_documents(docs(spark, awkward + empty), [1]).collect()} == {"a", "b", "c", None}
+    assert mixing.mix_documents(docs(spark, empty), [1]).count() == 0
+
+
 def test_schedules_are_inverted(spark):
     df = spark.createDataFrame([(x / 20,) for x in range(21)], "y double")
     out = df.withColumn("t", mixing.training_time(F.col("y"), F.lit(1.5), F.lit(0.5))).collect()
