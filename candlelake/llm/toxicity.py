@@ -5,7 +5,7 @@ since toxic documents are mostly ordinary language, followed by the strings that
 beginnings and whole words that many toxic and hardly any ordinary documents hold. Every window of a text is compressed
 with both; a window that the toxic dictionary shortens by some bytes holds such a string. How the shortenings of a
 document are spread, against its number of windows, is turned into a probability by a logistic curve fitted to labelled
-documents.
+documents. All of this reads the text in lower case.
 """
 
 from __future__ import annotations
@@ -52,6 +52,11 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ np.array(self.weights[1:]), -40, 40)))
 
 
+def lower(body: bytes) -> bytes:
+    """The text in lower case, letters beyond ASCII too."""
+    return body.decode("utf-8", "replace").lower().encode()
+
+
 def windows(body: bytes) -> list[bytes]:
     """The whole text in overlapping windows; a text shorter than one is a window by itself."""
     return [body[a : a + WINDOW] for a in range(0, max(1, len(body) - LONGEST), STEP)]
@@ -62,7 +67,7 @@ def features(bodies: list[bytes], compressors: tuple[zstandard.ZstdCompressor, z
     plain, toxic = (c.compress for c in compressors)
     out = np.zeros((len(bodies), 3 + 2 * (MOST + 1 - LEAST)))
     for row, body in zip(out, bodies, strict=True):
-        saved = np.array([len(plain(w)) - len(toxic(w)) for w in windows(body)])
+        saved = np.array([len(plain(w)) - len(toxic(w)) for w in windows(lower(body))])
         spread = np.bincount(np.clip(saved, 0, MOST), minlength=MOST + 1)[LEAST:]
         row[0], row[1], row[2] = saved.max(), np.sort(saved)[-3:].sum(), np.log1p(len(saved))
         row[3 : 3 + len(spread)], row[3 + len(spread) :] = np.log1p(spread), spread / len(saved)
@@ -77,7 +82,7 @@ def _units(word: bytes) -> set[bytes]:
 def _frequencies(texts: list[bytes]) -> Counter[bytes]:
     counts: Counter[bytes] = Counter()
     for text in texts:
-        counts.update(set().union(*map(_units, set(_WORD.findall(text.lower())))))
+        counts.update(set().union(*map(_units, set(_WORD.findall(lower(text))))))
     return counts
 
 
@@ -136,7 +141,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     if not toxic or not ordinary:
         odds = (len(toxic) + 0.5) / (len(ordinary) + 0.5) if texts else 1.0
         return ToxicityModel(_NO_DICTIONARY, b"", (0.0,) * width, (1.0,) * width, (float(np.log(odds)), *(0.0,) * width))
-    pieces = [t[a : a + 2 * WINDOW] for t in ordinary for a in range(0, len(t), 2 * WINDOW)]
+    pieces = [t[a : a + 2 * WINDOW] for t in map(lower, ordinary) for a in range(0, len(t), 2 * WINDOW)]
     try:
         base = zstandard.train_dictionary(dictionary_bytes, pieces[: 40 * dictionary_bytes // WINDOW], level=3).as_bytes()
     except zstandard.ZstdError:  # too little text to train on

@@ -265,6 +265,17 @@ def test_toxicity_learns_and_reads_whole_texts(spark):
     assert toxicity.score_toxicity(docs(spark, rows).limit(0), none).count() == 0
 
 
+def test_toxicity_does_not_depend_on_case(spark):
+    rng = random.Random(9)
+    rows = [(i, words(rng, 60) + (" vileéword " if i % 3 == 0 else " ") + words(rng, 10), "s") for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(160)], "doc_id bigint, toxic int")
+    model = toxicity.train_toxicity(docs(spark, rows), labels, share=0.05)
+    cases = [(3 * i + n, change(t), "s") for i, t, _ in rows[160:] for n, change in enumerate((str, str.upper, str.title))]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs(spark, cases), model).collect()}
+    assert all(got[3 * i] == got[3 * i + 1] == got[3 * i + 2] for i in range(160, 240))
+    assert sum((got[3 * i + 1] >= 0.5) == (i % 3 == 0) for i in range(160, 240)) > 72
+
+
 # --- 7 ---
 
 
