@@ -120,7 +120,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) ->
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 2000, dictionary_bytes: int = 16_384, share: float = 0.02, ratio: float = 20.0) -> ToxicityModel:
     """Train on at most about `sample_docs` labelled documents of each label, chosen by a hash of their id.
 
-    The sample is what comes to the driver. Equal texts count once. Null labels, and labels without a document, are
+    The sample is what comes to the driver, and all of it trains the model. Equal texts count once. Null labels, and labels without a document, are
     left out. With fewer than two labels in the sample all scores are its share of label 1, or 0.5 if it is empty.
     """
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).distinct()
@@ -143,7 +143,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return ToxicityModel(_NO_DICTIONARY, b"", (0.0,) * width, (1.0,) * width, (float(np.log(odds)), *(0.0,) * width))
     pieces = [t[a : a + 2 * WINDOW] for t in map(lower, ordinary) for a in range(0, len(t), 2 * WINDOW)]
     try:
-        base = zstandard.train_dictionary(dictionary_bytes, pieces[: 40 * dictionary_bytes // WINDOW], level=3).as_bytes()
+        base = zstandard.train_dictionary(dictionary_bytes, pieces, level=3).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
         base = b"".join(pieces)[:dictionary_bytes] or _NO_DICTIONARY
     told = b"".join(b" " + u for u in telling_strings(toxic, ordinary, share, ratio))

@@ -276,6 +276,15 @@ def test_toxicity_does_not_depend_on_case(spark):
     assert sum((got[3 * i + 1] >= 0.5) == (i % 3 == 0) for i in range(160, 240)) > 72
 
 
+def test_ordinary_dictionary_is_trained_on_the_whole_sample(spark, monkeypatch):
+    rng, seen, train = random.Random(9), [], toxicity.zstandard.train_dictionary
+    rows = [(i, words(rng, 300) + (" vileword" if i % 3 == 0 else ""), "s") for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, pieces, **more: seen.extend(pieces) or train(size, pieces, **more))
+    toxicity.train_toxicity(docs(spark, rows), labels, dictionary_bytes=1024)
+    assert len(seen) > 640 and sorted(b"".join(seen)) == sorted("".join(t for i, t, _ in rows if i % 3).encode())
+
+
 # --- 7 ---
 
 
