@@ -3,8 +3,10 @@
 Markup is stripped to lines, one per block-level element, each with the length of its text. Text in elements that are
 never part of an article (menus, headers, footers, sidebars, notices, adverts, forms, comments) has length 0, and so has
 the text of links outside an article. The lengths are summed over sliding windows of `WINDOW` lines. Where the sum surges
-above the threshold a text region begins, where it dives to 0 the region ends; the lines between, from the first to the
-last with a length, are kept. A marked-up article is a region by itself: nothing in it falls under the threshold.
+to the threshold a text region begins, where it dives to 0 the region ends; all lines between, from the first to the last
+with a length, are kept, those of links alone too. The threshold is the mean length of the page's own lines, so the
+densest region is always kept however short it is; it is `THRESHOLD` at most. The distribution decides on pages without
+article or main only: a marked-up article is a region by itself, of which all lines are kept.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 Batches = Iterator[pa.RecordBatch]
 
 WINDOW = 3
-#: Window sum, in characters, that makes a surge outside marked-up articles.
+#: Window sum, in characters, that makes a surge outside marked-up articles at the latest.
 THRESHOLD = 80
 
 # Element names by their part in a page.
@@ -140,17 +142,19 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str) -> str:
     """The blocks between surges and dives, joined by an empty line."""
     lines = lines_of(page)
-    article = any(inside and n for _, n, inside in lines)
-    lengths = [n if inside or not article else 0 for _, n, inside in lines]
+    if any(inside for _, _, inside in lines):
+        return "\n\n".join(line for line, _, inside in lines if inside)
+    lengths = [n for _, n, _ in lines]
     kept: list[str] = []
-    least = 1 if article else THRESHOLD
+    least = max(1.0, min(THRESHOLD, sum(lengths) / max(1, len(lengths))))
     start = None
     for i in range(len(lines) + 1):
         window = sum(lengths[i : i + WINDOW])
         if start is None and window >= least:
             start = i
         elif start is not None and window == 0:
-            kept += [lines[j][0] for j in range(start, i) if lengths[j]]
+            counted = [j for j in range(start, i) if lengths[j]]
+            kept += [line for line, _, _ in lines[counted[0] : counted[-1] + 1]]
             start = None
     return "\n\n".join(kept)
 

@@ -451,3 +451,18 @@ def test_page_without_article_is_cut_at_surge_and_dive():
     body = "<h2>A title</h2>" + "<p>" + "words of the story " * 12 + "</p><p>Yes.</p><p>" + "and so on " * 15 + "</p>"
     out = main_text(f"<div>{menu}</div><div>{body}</div><div>{menu}</div>")
     assert "Link" not in out and out.split("\n\n")[1:][-2:-1] == ["Yes."] or out.split("\n\n")[-2] == "Yes."
+
+
+LINKS = "".join(f"<p><a href=/{i}>Link {i}</a></p>" for i in range(4))
+
+
+def test_short_page_without_article_is_not_empty():
+    text = "A paragraph of some fifty characters, and no more."
+    assert main_text(f"<body>{LINKS}<div><h1>Title</h1><p>{text}</p></div>{LINKS}</body>") == f"Title\n\n{text}"
+    assert main_text(f"<p>{text}</p>") == text and main_text("<div>Hi</div>") == "Hi" and main_text(LINKS) == ""
+
+
+def test_lines_between_surge_and_dive_are_kept():
+    long, close = "words of the story " * 6 + "end.", "A short closing paragraph stands here."
+    page = f"<body>{LINKS}<div><p>{long}</p><p><a href=/x>Read the report itself</a></p><p>{long}</p>{LINKS}<p>{close}</p></div>{LINKS}"
+    assert main_text(page) == "\n\n".join([long, "Read the report itself", long, close])
