@@ -2,7 +2,7 @@
 
 The patterns find secrets that announce themselves. Their values, from a bounded sample of documents, are also the
 labelled examples of random strings; the other words of the same sample are the examples of ordinary identifiers. Two
-first-order character models are fitted to them, and a long word with letters and digits is a secret if the mean
+first-order character models are fitted to them, and a long word with a letter is a secret if the mean
 log-likelihood ratio of its characters is above a threshold. Everything is evaluated row by row, without a shuffle.
 """
 
@@ -34,11 +34,11 @@ class SecretModel:
 
     ratio: tuple[float, ...]
     threshold: float = 1.5
-    least: int = 16
+    least: int = 12
 
     def candidates(self) -> str:
-        """Whole words of at least `least` characters with a letter and a digit."""
-        return rf"(?<!{_WORD})(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z]){_WORD}{{{self.least},}}"
+        """Whole words of at least `least` characters with a letter."""
+        return rf"(?<!{_WORD})(?=[0-9+/_=-]*[A-Za-z]){_WORD}{{{self.least},}}"
 
 
 def _quoted(pattern: str) -> str:
@@ -80,7 +80,7 @@ def markov_spans(text: str, base: str, model: SecretModel) -> Column:
     return F.expr(f"filter({_spans(text, model.candidates(), 3)}, x -> {free} AND {score} >= {model.threshold}D)")
 
 
-def train_secret_model(docs: DataFrame, text_col: str = "text", sample_rows: int = 4000, smoothing: float = 0.5, threshold: float = 1.5, least: int = 16) -> SecretModel:
+def train_secret_model(docs: DataFrame, text_col: str = "text", sample_rows: int = 4000, smoothing: float = 0.5, threshold: float = 1.5, least: int = 12) -> SecretModel:
     """Fit the model to about `sample_rows` documents, chosen by a hash of their text.
 
     Label 1: the values of the named patterns; label 0: every other word of four or more characters. The counts of

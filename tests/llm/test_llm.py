@@ -228,6 +228,17 @@ def test_secret_spans(spark):
     assert secret_scan.scan_secrets(df.limit(0), secret_scan.train_secret_model(df.limit(0))).count() == 0
 
 
+def test_random_strings_of_letters_are_secrets(spark):
+    rng = random.Random(6)
+    plain = "internationalization misunderstanding responsibilities the of and characteristics communication to a in representative".split()
+    strings = ["".join(rng.choice(secret_scan.ALPHABET[:52]) for _ in range(n)) for n in (12, 13, 15, 16, 20, 32)]
+    known = {w[i : i + 2] for w in [*plain, "here"] for i in range(len(w) - 1)}
+    model = secret_scan.SecretModel(tuple(-1.0 if a + b in known else 4.0 for a in secret_scan.ALPHABET for b in secret_scan.ALPHABET))
+    cases = [(i, f"here {x} and internationalization", "s") for i, x in enumerate(strings)] + [(50, " ".join(plain), "s")]
+    red = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(docs(spark, cases), model).collect()}
+    assert all(red[i] == "here [SECRET] and internationalization" for i in range(len(strings))) and red[50] == " ".join(plain)
+
+
 # --- 5 ---
 
 
