@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from suite.base import ORACLES, QUERIES
 from suite.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -17,12 +18,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, SF, queries()[name], oracle_sql().get(name)) == ""
+    assert compare(spark, con, SF, QUERIES[name], ORACLES[name]) == ""
 
 
 def test_entry(spark):
