@@ -25,7 +25,7 @@ from candlelake.llm.shared import keep
 
 Batches = Iterator[pa.RecordBatch]
 
-#: Filter words (of 64 bits) that travel as one row.
+#: Filter words (of 64 bits) that travel as one row, at most.
 SEGMENT = 8192
 _SPACE = b" \t\n\x0b\x0c\r"
 _NO_ID = -(1 << 63)
@@ -77,8 +77,8 @@ def _pack(words: np.ndarray) -> bytes:
     return pa.compress(words.tobytes(), _CODEC, asbytes=True) if words.any() else b""
 
 
-def _unpack(body: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(body, SEGMENT * 8, _CODEC, asbytes=True), np.uint64) if body else np.zeros(SEGMENT, np.uint64)
+def _unpack(body: bytes, words: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(body, words * 8, _CODEC, asbytes=True), np.uint64) if body else np.zeros(words, np.uint64)
 
 
 def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -92,23 +92,27 @@ def _task_filters(words: int, min_chars: int) -> Callable[[Batches], Batches]:
         for batch in batches:
             hashes = [xxhash.xxh3_64_intdigest(k) for t in _texts(batch) for k in _keys(t, min_chars)]
             mark(np.array(hashes, np.uint64), once, twice)
-        for n in range(words // SEGMENT):
-            part = slice(n * SEGMENT, (n + 1) * SEGMENT)
+        for n in range(0, words, SEGMENT):
+            part = slice(n, n + SEGMENT)
             if once[part].any():
                 yield _rows([(n, _pack(once[part]), _pack(twice[part]))], ["segment", "once", "twice"], [pa.int32(), pa.binary(), pa.binary()])
 
     return run
 
 
-def _merged(batches: Batches) -> Batches:
-    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            once, twice = found.setdefault(row["segment"], (np.zeros(SEGMENT, np.uint64), np.zeros(SEGMENT, np.uint64)))
-            merge(once, twice, _unpack(row["once"]), _unpack(row["twice"]))
-    for n, (_, twice) in found.items():
-        if twice.any():
-            yield _rows([(n, _pack(twice))], ["segment", "twice"], [pa.int32(), pa.binary()])
+def _merged(words: int) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        size = min(words, SEGMENT)
+        for batch in batches:
+            for row in batch.to_pylist():
+                once, twice = found.setdefault(row["segment"], (np.zeros(size, np.uint64), np.zeros(size, np.uint64)))
+                merge(once, twice, _unpack(row["once"], size), _unpack(row["twice"], size))
+        for n, (_, twice) in found.items():
+            if twice.any():
+                yield _rows([(n, _pack(twice))], ["segment", "twice"], [pa.int32(), pa.binary()])
+
+    return run
 
 
 class SeenTwice:
@@ -123,7 +127,7 @@ class SeenTwice:
         if SeenTwice._ready is None or SeenTwice._ready[0] is not self:
             out = np.zeros(self.words, np.uint64)
             for n, body in self.segments.items():
-                out[n * SEGMENT : (n + 1) * SEGMENT] = _unpack(body)
+                out[n : n + SEGMENT] = _unpack(body, min(self.words, SEGMENT))
             SeenTwice._ready = (self, out)
         return SeenTwice._ready[1]
 
@@ -138,7 +142,7 @@ class SeenTwice:
 def _filter_words(docs: DataFrame, min_chars: int, max_filter_bytes: int) -> int:
     """Words of a filter: a line that counts has `min_chars` bytes at least, so the bytes bound their number."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    words = SEGMENT
+    words = 1
     while words * 64 < 60 * size // max(min_chars, 1) and words * 16 <= max_filter_bytes:
         words *= 2
     return words
@@ -147,7 +151,7 @@ def _filter_words(docs: DataFrame, min_chars: int, max_filter_bytes: int) -> int
 def seen_twice(docs: DataFrame, min_chars: int, max_filter_bytes: int) -> SeenTwice:
     words = _filter_words(docs, min_chars, max_filter_bytes)
     parts = docs.select("text").mapInArrow(_task_filters(words, min_chars), "segment int, once binary, twice binary")
-    merged = parts.repartition("segment").mapInArrow(_merged, "segment int, twice binary")
+    merged = parts.repartition("segment").mapInArrow(_merged(words), "segment int, twice binary")
     return SeenTwice(words, {r["segment"]: bytes(r["twice"]) for r in merged.collect()})
 
 
