@@ -5,9 +5,10 @@ lines seen twice. The filters of all tasks merge bit by bit: what two of them ha
 repeated line escapes the merged second filter, and few others pass it. Only lines that pass it shuffle, as the SHA-256
 of their key, to be counted exactly; only documents with such a line shuffle to lose it.
 
-A filter has about 3 bits for each byte of text over `min_chars`, rounded up to a power of two, so its share of set
-bits does not grow with the input, up to `max_filter_bytes`, the bound on what is broadcast and on what a task holds.
-Beyond that more lines shuffle; which lines are dropped never depends on it.
+A filter has 5 bits or more for each `min_chars` bytes of text, a power of two of them: 5 for each line if all lines were
+as short as lines that count can be, and far more as lines are. So its share of set bits does not grow with the input, up
+to `max_filter_bytes`, the bound on what is broadcast; a task holds two filters. Beyond that bound more lines shuffle;
+which lines are dropped never depends on it.
 """
 
 from __future__ import annotations
@@ -143,7 +144,7 @@ def _filter_words(docs: DataFrame, min_chars: int, max_filter_bytes: int) -> int
     """Words of a filter: a line that counts has `min_chars` bytes at least, so the bytes bound their number."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     words = 1
-    while words * 64 < 60 * size // max(min_chars, 1) and words * 16 <= max_filter_bytes:
+    while words * 64 < 5 * size // min_chars and words * 16 <= max_filter_bytes:
         words *= 2
     return words
 
@@ -187,7 +188,7 @@ def _without(batches: Batches) -> Batches:
         yield _rows(rows, ["id", "n_lines", "n_dropped", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.string()])
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, max_filter_bytes: int = 1 << 26) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, max_filter_bytes: int = 1 << 25) -> DataFrame:
     """One row per row: `id_col`, n_lines, n_dropped, kept (the lines that stay, joined by \\n).
 
     Texts are split at \\n; null and empty texts are one empty line. A line goes if its key (see `line_key`) has
