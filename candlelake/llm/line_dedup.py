@@ -42,6 +42,12 @@ def _long_enough(key: bytes, min_chars: int) -> bool:
     return len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode()) >= min_chars)
 
 
+def _parts(batches: Batches) -> Batches:
+    """A few hundred rows at a time, so that little besides the batch itself is held."""
+    for batch in batches:
+        yield from (batch.slice(at, 256) for at in range(0, batch.num_rows, 256))
+
+
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
@@ -90,7 +96,7 @@ def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.R
 def _task_filters(words: int, min_chars: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         once, twice = np.zeros(words, np.uint64), np.zeros(words, np.uint64)
-        for batch in batches:
+        for batch in _parts(batches):
             hashes = [xxhash.xxh3_64_intdigest(k) for t in _texts(batch) for k in _keys(t, min_chars)]
             mark(np.array(hashes, np.uint64), once, twice)
         for n in range(0, words, SEGMENT):
@@ -158,7 +164,7 @@ def seen_twice(docs: DataFrame, min_chars: int, max_filter_bytes: int) -> SeenTw
 
 def _suspect_rows(seen, min_chars: int) -> Callable[[Batches], Batches]:  # noqa: ANN001
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in _parts(batches):
             rows = []
             for id_, text in zip(batch.column("id").to_pylist(), _texts(batch), strict=True):
                 rows += [(id_, hashlib.sha256(k).digest()) for k in seen.value.suspects(list(_keys(text, min_chars)))]
@@ -171,14 +177,14 @@ def _with_suspects(seen, min_chars: int, wanted: bool) -> Callable[[Batches], Ba
     """The rows of documents that hold a suspected line, or of those that hold none."""
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in _parts(batches):
             yield batch.filter(pa.array([bool(seen.value.suspects(list(_keys(t, min_chars)))) == wanted for t in _texts(batch)], pa.bool_()))
 
     return run
 
 
 def _without(batches: Batches) -> Batches:
-    for batch in batches:
+    for batch in _parts(batches):
         rows = []
         for id_, text, gone in zip(batch.column("id").to_pylist(), _texts(batch), batch.column("gone").to_pylist(), strict=True):
             lines = text.split(b"\n")
@@ -202,7 +208,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
     seen = docs.sparkSession.sparkContext.broadcast(seen_twice(base, min_chars, max_filter_bytes))
     found = keep(base.mapInArrow(_suspect_rows(seen, min_chars), "id long, key binary"))
-    repeated = found.groupBy("key").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("last")).filter(F.col("docs") >= min_docs)
+    # A table of its own, so that the join below can split the rows of a line that very many documents hold.
+    repeated = keep(found.groupBy("key").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("last")).filter(F.col("docs") >= min_docs))
     gone = found.join(repeated, "key").filter("id <> last").groupBy("id").agg(F.collect_set("key").alias("gone"))
     touched = base.mapInArrow(_with_suspects(seen, min_chars, True), base.schema).join(gone, "id", "left").select("id", "text", "gone")
     clean = base.mapInArrow(_with_suspects(seen, min_chars, False), base.schema).withColumn("gone", F.lit(None).cast("array<binary>"))
