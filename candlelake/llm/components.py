@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by alternating star contractions."""
+"""Connected components of an edge table, by contraction."""
 
 from __future__ import annotations
 
@@ -8,29 +8,30 @@ from pyspark.sql import functions as F
 from candlelake.llm.shared import keep
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _moves(edges: DataFrame, number: int) -> DataFrame:
+    """Where each node (u) goes over to (to): the first of itself and its neighbours."""
+    by = lambda c: F.xxhash64(c, F.lit(number)) if number % 3 == 2 else F.col(c)
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    first = both.groupBy("u").agg(F.min(F.struct(by("v").alias("at"), F.col("v").alias("n"))).alias("v"))
+    return first.select("u", F.least("v", F.struct(by("u").alias("at"), F.col("u").alias("n")))["n"].alias("to"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Columns (node, label) for every node of the edges (a, b); the label is the smallest node of its component.
+    """Columns (node, label) for every node of the edges (a, b); the label is one of the nodes of its component.
 
-    Each round hangs the larger neighbours of every node on its smallest one, then the smaller ones; rounds grow with
-    the logarithm of the longest path. Only counts come back to the driver, and no neighbourhood is gathered.
+    In each round every node goes over to the first of itself and its neighbours, by number in two rounds of three and by
+    hash in the third, and edges are renamed. Stars around their least node vanish in one round; where the numbers run
+    against a graph (a path in order), rounds by hash still take a part of its nodes, so rounds grow with the logarithm
+    of the nodes. One table is written a round, whether it is empty is the stop test; no neighbourhood is gathered.
     """
-    current = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _state(current)
-    while True:
-        both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = keep(both.filter("v > u").join(lowest, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(
-            lowest.filter("m < u").select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        current = keep(large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(
-            least.select("a", F.col("m").alias("b"))).distinct())
-        after = _state(current)
-        if after == before:
-            break
-        before = after
-    roots = current.select(F.col("b").alias("node")).distinct()
-    return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(roots.select("node", F.col("node").alias("label")))
+    rounds = [keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())]
+    while not rounds[-1].isEmpty():
+        moves = _moves(rounds[-1], len(rounds) - 1)
+        a, b = (moves.select(F.col("u").alias(n), F.col("to").alias(f"to_{n}")) for n in "ab")
+        renamed = rounds[-1].join(a, "a").join(b, "b").filter("to_a <> to_b")
+        rounds.append(keep(renamed.select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b")).distinct()))
+    out = _moves(rounds[0], 0).select(F.col("u").alias("node"), F.col("to").alias("label"))
+    for number, left in enumerate(rounds[1:-1], 1):
+        move = _moves(left, number).withColumnRenamed("u", "label")
+        out = out.join(move, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return out if len(rounds) < 3 else keep(out)

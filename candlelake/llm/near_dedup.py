@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlelake.llm import textarrays as ta
@@ -234,39 +234,39 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
                  .select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", "t.*"))
 
     places = texts.select("node", "weight", F.explode("bands").alias("key"))
-    shared = places.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
+    shared = places.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("low"), F.max("node").alias("high")).filter("low.node < high").select("key", "low")
     members = keep(places.join(shared, "key"))
     wanted = members.select("node").distinct().join(texts.select("node", "id", "h1", "h2"), "node")
     items = keep(base.join(wanted, ["id", "h1", "h2"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(_shingle_lists(size), "node long, items binary"))
 
-    weights = texts.select(F.col("node").alias("b"), F.col("weight").alias("other"))
-    alike = (F.least("weight", "other") >= threshold * F.greatest("weight", "other"))
+    def alike(a: str, b: str) -> Column:
+        return F.least(a, b) >= threshold * F.greatest(a, b)
 
-    def star(rows_: DataFrame, hub: str) -> DataFrame:
-        pairs = rows_.filter(F.col("node") != F.col(hub)).select(F.col("node").alias("a"), F.col(hub).alias("b"), "weight").distinct()
-        return pairs.join(weights, "b").filter(alike).select("a", "b")
+    hubs = members.filter((F.col("node") != F.col("low.node")) & alike("weight", "low.weight"))
+    near = components(_verified(hubs.select(F.col("node").alias("a"), F.col("low.node").alias("b")).distinct(), items, threshold))
 
-    def still_open(labels: DataFrame) -> DataFrame:
-        """Members of buckets that hold more than one component."""
-        named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-        return keep(named.join(mixed, "key"))
-
-    links = keep(_verified(star(members, "low"), items, threshold))
-    rest = still_open(components(links))
-    sizes = rest.groupBy("key").agg(F.count("*").alias("members"))
-    rest = keep(rest.join(sizes, "key"))
+    # Buckets that still hold more than one component; of several with the same members, one.
+    named = members.select("key", "node", "weight").join(near, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    same = [F.bit_xor(F.xxhash64("node", F.lit(n))).alias(f"s{n}") for n in (0, 1)]
+    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members"), *same).filter("x < y")
+    mixed = mixed.groupBy("members", "s0", "s1").agg(F.min("key").alias("key")).select("key", "members")
+    rest = keep(named.join(mixed, "key"))
     few = rest.filter(F.col("members") <= PAIRED)
     left, right = (few.select("key", F.col("node").alias(n), F.col("label").alias(f"{n}_label"), F.col("weight").alias(f"{n}_weight")) for n in ("a", "b"))
-    across = left.join(right, "key").filter((F.col("a_label") < F.col("b_label")) & (F.least("a_weight", "b_weight") >= threshold * F.greatest("a_weight", "b_weight")))
+    across = left.join(right, "key").filter((F.col("a_label") < F.col("b_label")) & alike("a_weight", "b_weight"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = rest.filter(F.col("members") > PAIRED).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     dealt = dealt.select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).join(items, "node")
     met = dealt.groupBy("key", "i", "j").applyInArrow(_block_links(threshold), "a long, b long")
-    links = keep(links.unionAll(_verified(across.select("a", "b").distinct(), items, threshold)).unionAll(met))
-
-    labels = texts.select("node", "h1", "h2", "id", "n").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    late = _verified(across.select("a", "b").distinct(), items, threshold).unionAll(met)
+
+    # Later links join components, so only those are contracted once more.
+    name = lambda n: near.select(F.col("node").alias(n), F.col("label").alias(f"{n}_label"))
+    late = late.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    joined = components(late.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
+    labels = texts.select("node", "h1", "h2", "id", "n").join(near, "node", "left").withColumn("near", F.coalesce("label", "node")).drop("label")
+    labels = labels.join(joined.withColumnRenamed("node", "near"), "near", "left").withColumn("label", F.coalesce("label", "near"))
     classes = labels.groupBy("label").agg(F.min(F.struct("id", "h1", "h2")).alias("first"), F.sum("n").alias("class_size"))
     return labels.join(classes, "label").select("h1", "h2", "first", "class_size")
 
