@@ -10,10 +10,11 @@ from candlelake.llm.shared import keep
 
 def _moves(edges: DataFrame, number: int) -> DataFrame:
     """Where each node (u) goes over to (to): the first of itself and its neighbours."""
-    by = lambda c: F.xxhash64(c, F.lit(number)) if number % 3 == 2 else F.col(c)
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    first = both.groupBy("u").agg(F.min(F.struct(by("v").alias("at"), F.col("v").alias("n"))).alias("v"))
-    return first.select("u", F.least("v", F.struct(by("u").alias("at"), F.col("u").alias("n")))["n"].alias("to"))
+    if number % 3 < 2:
+        return both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to"))
+    placed = lambda c: F.struct(F.xxhash64(c, F.lit(number)).alias("at"), F.col(c).alias("n"))
+    return both.groupBy("u").agg(F.min(placed("v")).alias("v")).select("u", F.least("v", placed("u"))["n"].alias("to"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlelake.llm import textarrays as ta
@@ -234,16 +234,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
                  .select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", "t.*"))
 
     places = texts.select("node", "weight", F.explode("bands").alias("key"))
-    shared = places.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("low"), F.max("node").alias("high")).filter("low.node < high").select("key", "low")
+    shared = places.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
     members = keep(places.join(shared, "key"))
     wanted = members.select("node").distinct().join(texts.select("node", "id", "h1", "h2"), "node")
     items = keep(base.join(wanted, ["id", "h1", "h2"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(_shingle_lists(size), "node long, items binary"))
 
-    def alike(a: str, b: str) -> Column:
-        return F.least(a, b) >= threshold * F.greatest(a, b)
-
-    hubs = members.filter((F.col("node") != F.col("low.node")) & alike("weight", "low.weight"))
-    near = components(_verified(hubs.select(F.col("node").alias("a"), F.col("low.node").alias("b")).distinct(), items, threshold))
+    hubs = members.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    near = components(_verified(hubs, items, threshold))
 
     # Buckets that still hold more than one component; of several with the same members, one.
     named = members.select("key", "node", "weight").join(near, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -253,7 +250,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
     rest = keep(named.join(mixed, "key"))
     few = rest.filter(F.col("members") <= PAIRED)
     left, right = (few.select("key", F.col("node").alias(n), F.col("label").alias(f"{n}_label"), F.col("weight").alias(f"{n}_weight")) for n in ("a", "b"))
-    across = left.join(right, "key").filter((F.col("a_label") < F.col("b_label")) & alike("a_weight", "b_weight"))
+    across = left.join(right, "key").filter((F.col("a_label") < F.col("b_label")) & (F.least("a_weight", "b_weight") >= threshold * F.greatest("a_weight", "b_weight")))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = rest.filter(F.col("members") > PAIRED).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     dealt = dealt.select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
