@@ -145,5 +145,5 @@ def mix_documents(docs: DataFrame, weights: DataFrame | list[Weight], id_col: st
     own = [c for c in docs.columns if c not in ("position", "words")]
     keyed = docs.select(own).withColumn("__key", order_key(id_col, text_col, source_col))
     slim = keep(keyed.select(F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size"), "__key"))
-    units = _place(slim, weights, source_col, max_repeats).select("__key", "readings")
-    return keyed.join(units.filter(F.size("readings") > 0), "__key").select(*own, F.inline("readings")).sort("position", id_col)
+    units = _place(slim, weights, source_col, max_repeats).select("__key", F.col("readings").alias("__readings"))
+    return keyed.join(units.filter(F.size("__readings") > 0), "__key").select(*own, F.inline("__readings")).sort("position", id_col)
