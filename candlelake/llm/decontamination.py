@@ -9,7 +9,8 @@ those that stand in the document as they are need no alignment. The count can on
 nothing.
 
 Text is compared in lower case with every run of white space as one space. The benchmark is the query set: it is taken
-in blocks of at most `block_chars` characters, each broadcast inside the task function, and documents stream past.
+in blocks of about `block_chars` characters, each a broadcast variable of some 30 bytes a character, and documents stream
+past, once for every block.
 """
 
 from __future__ import annotations
@@ -72,16 +73,15 @@ class Items:
         self.size = np.minimum(self.length, segment)
         self.budget = np.floor(self.size * rate).astype(np.int64)
         self.need = np.maximum(1, self.size + 1 - (self.budget + 1) * q)
-        self.text = np.zeros((len(items), int(self.length.max())), np.uint32)
-        grams = []
-        for n, (_, text) in enumerate(items):
-            self.text[n, : len(text)] = text
-            grams.append(_grams(text, q))
+        self.start = np.cumsum(self.length) - self.length
+        self.text = np.concatenate([text for _, text in items]).astype(np.uint32)
+        grams = [_grams(text, q) for _, text in items]
         counts = [len(g) for g in grams]
         all_grams = np.concatenate(grams)
         order = np.argsort(all_grams, kind="stable")
-        self.grams, self.first, self.count = np.unique(all_grams[order], return_index=True, return_counts=True)
-        self.row, self.place = np.repeat(np.arange(len(items)), counts)[order], np.concatenate([np.arange(n) for n in counts])[order]
+        self.grams, first, count = np.unique(all_grams[order], return_index=True, return_counts=True)
+        row, place = np.repeat(np.arange(len(items)), counts)[order], np.concatenate([np.arange(n) for n in counts])[order]
+        self.first, self.count, self.row, self.place = (x.astype(np.int32) for x in (first, count, row, place))
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[self.grams >> np.uint64(64 - _TABLE_BITS)] = True
 
@@ -171,7 +171,7 @@ def _segments(text: np.ndarray, bounds: np.ndarray, items: Items) -> Iterator[tu
     if not len(doc):
         return
     # Shared q-grams of a segment lie on `half` diagonals in a row at most: in two neighbouring halves of bands.
-    half, offset, longest = int(items.budget.max()) + 1, items.text.shape[1], int(items.size.max())
+    half, offset, longest = int(items.budget.max()) + 1, int(items.length.max()), int(items.size.max())
     diagonal = place - own + offset
     bands = int(diagonal.max()) // half + 2
     key = (doc * len(items.item) + row) * bands + diagonal // half
@@ -199,7 +199,7 @@ def _segments(text: np.ndarray, bounds: np.ndarray, items: Items) -> Iterator[tu
         straight = int(np.bincount(diagonal[first[n] : end[n]] - band[n] * half).argmax()) + int(band[n]) * half - offset
         at = bounds[d] + straight + np.arange(length)
         good = (at >= bounds[d]) & (at < bounds[d + 1])
-        wrong = np.concatenate(([0], np.cumsum(~good | (text[np.clip(at, 0, len(text) - 1)] != items.text[r, :length]))))
+        wrong = np.concatenate(([0], np.cumsum(~good | (text[np.clip(at, 0, len(text) - 1)] != items.text[items.start[r] : items.start[r] + length]))))
         same = wrong[starts + size] == wrong[starts]
         if same.any():
             s = starts[same]
@@ -221,7 +221,7 @@ def _aligned(text: np.ndarray, bounds: np.ndarray, items: Items, cases: np.ndarr
         columns = (bounds[d] + left)[:, None] + np.arange(longest + 4 * half)
         own = (columns >= bounds[d][:, None]) & (columns < bounds[d + 1][:, None])
         region = np.where(own, text[np.clip(columns, 0, len(text) - 1)], _OUTSIDE)
-        segment = items.text[r[:, None], np.minimum(s[:, None] + np.arange(longest), items.text.shape[1] - 1)]
+        segment = items.text[items.start[r][:, None] + np.minimum(s[:, None] + np.arange(longest), items.length[r][:, None] - 1)]
         edits, start, end = align(segment, items.size[r], region, items.budget[r])
         n = np.flatnonzero(edits <= items.budget[r])
         if len(n):
@@ -258,6 +258,10 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int
         yield [(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
 
 
+def _broadcast(docs: DataFrame, items: list[tuple[int | None, str]], segment: int, rate: float, q: int):  # noqa: ANN202
+    return docs.sparkSession.sparkContext.broadcast(Benchmark([(-1 if i is None else i, t) for i, t in items], segment, rate, q))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", segment: int = 100, rate: float = 0.08, q: int = 10, block_chars: int = 4_000_000) -> DataFrame:
     """One row per document and benchmark item it holds: id, item, start, end (code points), edits, n_segments.
 
@@ -268,11 +272,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
 
-    def scan(bench: Benchmark) -> Callable[[Batches], Batches]:
+    def scan(bench) -> Callable[[Batches], Batches]:  # noqa: ANN001
         def run(batches: Batches) -> Batches:
             for batch in batches:
                 for a, _, data, offsets in ta.chunks(batch.column("text")):
-                    rows = find_matches(data, offsets, bench)
+                    rows = find_matches(data, offsets, bench.value)
                     if rows:
                         d, *rest = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array([a + x for x in d])), *[pa.array(c, pa.int64()) for c in rest]], names=["doc", "item", "start", "end", "edits", "n_segments"])
@@ -281,7 +285,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     out = None
     for items in _blocks(benchmark, item_col, item_text_col, block_chars):
-        part = slim.mapInArrow(scan(Benchmark([(-1 if i is None else i, t) for i, t in items], segment, rate, q)), f"doc {kind}, item long, start long, end long, edits long, n_segments long")
+        part = slim.mapInArrow(scan(_broadcast(docs, items, segment, rate, q)), f"doc {kind}, item long, start long, end long, edits long, n_segments long")
         out = part if out is None else out.unionAll(part)
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "start", "end", "edits", "n_segments")
 
@@ -290,16 +294,16 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """The documents that hold no benchmark item, with all their columns; see `contaminated`."""
     place = docs.columns.index(text_col)
 
-    def keep(bench: Benchmark) -> Callable[[Batches], Batches]:
+    def keep(bench) -> Callable[[Batches], Batches]:  # noqa: ANN001
         def run(batches: Batches) -> Batches:
             for batch in batches:
                 good = np.ones(batch.num_rows, bool)
                 for a, _, data, offsets in ta.chunks(batch.column(place)):
-                    good[[a + row[0] for row in find_matches(data, offsets, bench)]] = False
+                    good[[a + row[0] for row in find_matches(data, offsets, bench.value)]] = False
                 yield batch.filter(pa.array(good))
 
         return run
 
     for items in _blocks(benchmark, item_col, item_text_col, block_chars):
-        docs = docs.mapInArrow(keep(Benchmark([(-1 if i is None else i, t) for i, t in items], segment, rate, q)), docs.schema)
+        docs = docs.mapInArrow(keep(_broadcast(docs, items, segment, rate, q)), docs.schema)
     return docs
