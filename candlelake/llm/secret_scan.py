@@ -45,13 +45,28 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans(text: str, pattern: str, kind: int) -> str:
-    """Spans of all matches of a pattern, as SQL. A match is the first place of its string after the match before."""
-    at = f"locate(x, {text}, acc.at)"
-    return (
-        f"aggregate(regexp_extract_all({text}, {_quoted(pattern)}, 0), named_struct('at', 1, 'out', cast(array() AS {_SPAN})), "
-        f"(acc, x) -> named_struct('at', {at} + char_length(x), 'out', concat(acc.out, array(named_struct('s', {at} - 1, 'k', {kind}, 'e', {at} - 1 + char_length(x))))), acc -> acc.out)"
-    )
+def _let(name: str, value: str, body: str) -> str:
+    """`body` with `name` for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+#: Matches whose lengths are added up one by one; longer lists are added up block by block.
+_BLOCK = 64
+
+
+def _spans(text: str, pattern: str, kind: int, good: str = "true") -> str:
+    """Spans of the matches of a pattern that are `good` (a condition on the match w), as SQL.
+
+    A match ends where the texts before and between the matches, and the matches so far, add up to.
+    """
+    added = lambda parts: f"aggregate({parts}, 0, (sum, part) -> sum + part)"
+    sizes = "transform(m, (w, i) -> char_length(element_at(p, i + 1)) + char_length(w))"
+    blocks = f"transform(sequence(0, cast((size(v) - 1) DIV {_BLOCK} AS INT)), j -> slice(v, j * {_BLOCK} + 1, {_BLOCK}))"
+    ends = f"flatten(transform(b, (x, j) -> {_let('o', added('slice(t, 1, j)'), f'transform(x, (y, i) -> o + {added("slice(x, 1, i + 1)")})')}))"
+    spans = f"transform(c, (e, i) -> named_struct('s', e - char_length(element_at(m, i + 1)), 'k', {kind}, 'e', e, 'w', element_at(m, i + 1)))"
+    kept = f"transform(filter({spans}, x -> {_let('w', 'x.w', good)}), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))"
+    placed = _let("p", f"split({text}, {_quoted(pattern)}, -1)", _let("v", sizes, _let("b", blocks, _let("t", f"transform(b, x -> {added('x')})", _let("c", ends, kept)))))
+    return _let("m", f"regexp_extract_all({text}, {_quoted(pattern)}, 0)", f"CASE WHEN size(m) = 0 THEN cast(array() AS {_SPAN}) ELSE {placed} END")
 
 
 def _piece(text: str, span: str = "x") -> str:
@@ -60,9 +75,8 @@ def _piece(text: str, span: str = "x") -> str:
 
 def base_spans(text: str) -> Column:
     """Spans (s, k, e) of the named patterns in a column, ordered; code points, end exclusive."""
-    value = f"char_length(regexp_extract({_piece(text)}, {_quoted(ASSIGN)}, 2)) >= {ASSIGN_LEAST}"
-    assign = f"filter({_spans(text, ASSIGN, 0)}, x -> {value})"
-    access = f"filter({_spans(text, ACCESS, 1)}, x -> x.e - x.s >= {ACCESS_LEAST})"
+    assign = _spans(text, ASSIGN, 0, f"char_length(regexp_extract(w, {_quoted(ASSIGN)}, 2)) >= {ASSIGN_LEAST}")
+    access = _spans(text, ACCESS, 1, f"char_length(w) >= {ACCESS_LEAST}")
     # Runs are maximal, so short ones can be left out in the pattern itself.
     hexes = _spans(text, HEX.replace("+", f"{{{HEX_LEAST},}}"), 2)
     return F.expr(f"array_sort(concat({assign}, {access}, {hexes}))")
@@ -72,12 +86,10 @@ def markov_spans(text: str, base: str, model: SecretModel) -> Column:
     """Spans of random words that touch no base span."""
     n = len(ALPHABET)
     table = "array(" + ",".join(f"{x:.6f}D" for x in model.ratio) + ")"
-    word = _piece(text)
     code = lambda i: f"locate(substring(w, {i}, 1), '{ALPHABET}')"
     mean = f"aggregate(sequence(2, char_length(w)), 0D, (a, i) -> a + element_at({table}, ({code('i - 1')} - 1) * {n} + {code('i')})) / (char_length(w) - 1)"
-    score = f"element_at(transform(array({word}), w -> {mean}), 1)"
     free = f"NOT exists({base}, b -> b.s < x.e AND x.s < b.e)"
-    return F.expr(f"filter({_spans(text, model.candidates(), 3)}, x -> {free} AND {score} >= {model.threshold}D)")
+    return F.expr(f"filter({_spans(text, model.candidates(), 3, f'{mean} >= {model.threshold}D')}, x -> {free})")
 
 
 def train_secret_model(docs: DataFrame, text_col: str = "text", sample_rows: int = 4000, smoothing: float = 0.5, threshold: float = 1.5, least: int = 12) -> SecretModel:
@@ -105,15 +117,19 @@ def train_secret_model(docs: DataFrame, text_col: str = "text", sample_rows: int
     return SecretModel(tuple(ratio), threshold, least)
 
 
+def _scanned(docs: DataFrame, model: SecretModel, text_col: str, base: str, secrets: str) -> DataFrame:
+    text = "__scanned"
+    out = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(base, base_spans(text))
+    return out.withColumn(secrets, F.array_sort(F.concat(base, markov_spans(text, base, model)))).drop(text)
+
+
 def scan_secrets(docs: DataFrame, model: SecretModel, text_col: str = "text") -> DataFrame:
     """Adds `base` (spans of the named patterns) and `secrets` (those and the model's), ordered by start, kind, end.
 
-    A span is (s: first code point, k: number in KINDS, e: code point after the last). Null and empty texts have none.
-    Input columns named base or secrets are replaced; no row is dropped or repeated.
+    A span is (s: first code point, k: number in KINDS, e: code point after the last). Null and empty texts have none, an
+    empty table stays empty. Input columns named base or secrets are replaced; no row is dropped or repeated.
     """
-    text = "__scanned"
-    out = docs.drop("base", "secrets").withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn("base", base_spans(text))
-    return out.withColumn("secrets", F.array_sort(F.concat("base", markov_spans(text, "base", model)))).drop(text)
+    return _scanned(docs.drop("base", "secrets"), model, text_col, "base", "secrets")
 
 
 def span_text(spans: str) -> Column:
@@ -123,12 +139,12 @@ def span_text(spans: str) -> Column:
 
 
 def redact_secrets(docs: DataFrame, model: SecretModel, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every secret replaced by `mark`; spans that overlap are replaced as one."""
+    """The documents, all columns kept, with every secret replaced by `mark`; spans that overlap are replaced as one."""
     t = f"coalesce(`{text_col}`, '')"
     step = (
         f"(acc, x) -> CASE WHEN x.e <= acc.at THEN acc WHEN x.s < acc.at THEN named_struct('at', x.e, 'out', acc.out) "
         f"ELSE named_struct('at', x.e, 'out', concat(acc.out, substring({t}, acc.at + 1, x.s - acc.at), {_quoted(mark)})) END"
     )
-    done = f"aggregate(secrets, named_struct('at', 0, 'out', ''), {step}, acc -> concat(acc.out, substring({t}, acc.at + 1)))"
-    scanned = scan_secrets(docs, model, text_col)
-    return scanned.withColumn(text_col, F.when(F.size("secrets") > 0, F.expr(done)).otherwise(F.col(text_col))).select(*docs.columns)
+    done = f"aggregate(__secrets, named_struct('at', 0, 'out', ''), {step}, acc -> concat(acc.out, substring({t}, acc.at + 1)))"
+    scanned = _scanned(docs, model, text_col, "__base", "__secrets")
+    return scanned.withColumn(text_col, F.when(F.size("__secrets") > 0, F.expr(done)).otherwise(F.col(text_col))).select(*docs.columns)
