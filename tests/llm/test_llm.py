@@ -477,3 +477,77 @@ def test_lines_between_surge_and_dive_are_kept():
     long, close = "words of the story " * 6 + "end.", "A short closing paragraph stands here."
     page = f"<body>{LINKS}<div><p>{long}</p><p><a href=/x>Read the report itself</a></p><p>{long}</p>{LINKS}<p>{close}</p></div>{LINKS}"
     assert main_text(page) == "\n\n".join([long, "Read the report itself", long, close])
+
+
+# --- columns with names of the operators' own, long texts, long items, empty tables ---
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(i, "word " * 12 + f"password = abcdef{i}x", "a", "mine", "own", 7 + i) for i in range(5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, base string, secrets string, readings long")
+    model = secret_scan.SecretModel((0.0,) * len(secret_scan.ALPHABET) ** 2)
+    clean = secret_scan.redact_secrets(table, model)
+    assert clean.columns == table.columns
+    assert {(r.base, r.secrets, r.readings - r.doc_id, "[SECRET]" in r.text) for r in clean.collect()} == {("mine", "own", 7, True)}
+    mixed = mixing.mix_documents(table, [5, 2, 1]).collect()
+    assert len(mixed) == 5 and {(r.base, r.readings - r.doc_id) for r in mixed} == {("mine", 7)}
+
+
+def test_secrets_of_a_long_text(spark):
+    rng = random.Random(6)
+    parts = [rng.choice(["token=" + "".join(rng.choice("abcé ") for _ in range(9)), "é" * rng.randint(1, 9), "AKIA" + "Z" * rng.randint(10, 20), "0af" * rng.randint(1, 12), "longordinaryword"]) for _ in range(3000)]
+    text = "é ".join(parts)
+    table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [(x.s, x.k, x.e) for x in table.select(secret_scan.base_spans("text").alias("b")).first().b]
+    found = [(m.start(), 0, m.end()) for m in re.finditer(secret_scan.ASSIGN.replace("(?i:", "(?i:", 1), text) if len(m.group(2)) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(secret_scan.ACCESS, text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(secret_scan.HEX, text) if m.end() - m.start() >= 24]
+    assert got == sorted(found) and len(got) > 500
+
+
+def test_a_long_item_and_edits_of_whole_items(spark):
+    rng = random.Random(12)
+    long_item = words(rng, 8000)
+    items = [(n, words(rng, rng.choice([4, 9, 30]))) for n in range(40)] + [(99, long_item)]
+    bench = decontamination.Benchmark(items, 100, 0.08, 10)
+    assert sum(part.text.nbytes for part in bench.parts) == 4 * sum(len(t) for _, t in items)
+    rows = [(1, words(rng, 50) + " " + long_item[20_000:20_150] + " " + words(rng, 20)), (2, words(rng, 90)), (3, "x " + items[2][1].upper() + " y"), (4, None), (5, "")]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs_, table).collect()}
+    assert {(1, 99), (3, 2)} <= got and not {d for d, _ in got} & {2, 4, 5}
+
+
+def brute_substring_edits(item, text):
+    """Fewest edits between an item and any part of a text."""
+    row = [0] * (len(text) + 1)
+    for a in item:
+        before, row = row, [row[0] + 1]
+        for j, b in enumerate(text):
+            row.append(min(before[j] + (a != b), before[j + 1] + 1, row[j] + 1))
+    return min(row)
+
+
+def test_whole_items_against_edit_distance(spark):
+    """Short items with a few edits planted: found exactly where brute force finds them within the budget."""
+    rng = random.Random(21)
+    items = [(n, words(rng, 9)[:60].strip()) for n in range(12)]
+    rows = []
+    for n, (_, item) in enumerate(items * 3):
+        broken = list(item)
+        for _ in range(rng.randint(0, 8)):
+            at = rng.randrange(len(broken))
+            broken[at : at + 1] = rng.choice([[], ["z"], [broken[at], "z"]])
+        rows.append((n, words(rng, 10) + " " + "".join(broken) + " " + words(rng, 10)))
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    plain = lambda t: re.sub(r"\s+", " ", t.lower())
+    expected = {(d, i) for d, t in rows for i, item in items if brute_substring_edits(plain(item), plain(t)) <= int(len(plain(item)) * 0.08)}
+    assert got == expected and 5 < len(expected) < 36
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert near_dedup.near_duplicates(none).collect() == [] and near_dedup.drop_near_duplicates(none).collect() == []
+    assert quality.judge_quality(none).collect() == [] and quality.filter_quality(none).collect() == []
+    assert secret_scan.redact_secrets(none, secret_scan.train_secret_model(none)).collect() == []
+    assert mixing.mix_documents(none, [5, 2, 1]).collect() == []
