@@ -30,6 +30,8 @@ Batches = Iterator[pa.RecordBatch]
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1.0, 21.0)))))
 #: Buckets of up to PAIRED members are expanded into pairs; larger ones meet in blocks of about BLOCK members.
 PAIRED, BLOCK = 16, 512
+#: Bytes of text that are hashed at once; working arrays take some 20 times as much.
+CHUNK = 400_000
 _LOW48 = np.uint64((1 << 48) - 1)
 _NO_ID = -(1 << 63)
 
@@ -110,7 +112,7 @@ def dart_signatures(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, docs:
 def _signatures(size: int, bands: int, rows: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            for a, b, data, offsets in ta.chunks(batch.column("text")):
+            for a, b, data, offsets in ta.chunks(batch.column("text"), CHUNK):
                 doc, item, weight = shingle_sets(data, offsets, size)
                 values = dart_signatures(doc, item, weight.astype(np.float64), b - a, bands * rows).reshape(b - a, bands, rows)
                 key = np.zeros((b - a, bands), np.uint64)
@@ -132,7 +134,7 @@ def _shingle_lists(size: int) -> Callable[[Batches], Batches]:
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            for a, b, data, offsets in ta.chunks(batch.column("text")):
+            for a, b, data, offsets in ta.chunks(batch.column("text"), CHUNK):
                 doc, item, weight = shingle_sets(data, offsets, size)
                 nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
                 owner = np.repeat(doc, weight)
