@@ -11,17 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from candlelake.functions.time import to_timestamp
-from candlelake.schemas import HEARTBEAT_MS, interval_millis, interval_seconds
-from candlelake.streaming.streams import KLINE_DELAY
+from candlelake.schemas import HEARTBEAT_MS
 
-ROLLUP_FIELDS = (
-    "symbol string, kline_start bigint, kline_close bigint, interval string, open double, high double, low double, "
-    "close double, volume double, quote_volume double, trade_count bigint, is_closed boolean"
-)
 INDICATOR_FIELDS = (
     "symbol string, timestamp bigint, close double, sma20 double, sma50 double, ema12 double, ema26 double"
 )
@@ -35,64 +28,9 @@ def _gather(rows: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True).sort_values(list(order), kind="stable", ignore_index=True)
 
 
-def stream_rollup(
-    df: DataFrame, step: str = "1s", span: str = "1m", arrival: str = "event_time", delay: str = KLINE_DELAY
-) -> DataFrame:
-    """Closed ``span`` candles from a stream of ``step`` candles: the streaming form of ``rollup``.
-
-    Two built-in windowed aggregates do the work: one keeps the last copy of each step, one builds the
-    window. A window is emitted once, when the watermark passes its end, also if its symbol fell silent.
-    Late copies inside the delay are included. Only closed windows, one row each, reach the state that
-    carries the previous close into a window whose first step is missing.
-    """
-    measures = ["open", "high", "low", "close", "volume", "quote_volume", "trade_count"]
-    stamped = df.withColumn("_ts", to_timestamp("open_time")).withWatermark("_ts", delay)
-    steps = stamped.groupBy("symbol", F.window("_ts", f"{interval_seconds(step)} seconds").alias("_step")).agg(
-        F.max_by(F.struct("open_time", *measures), F.col(arrival)).alias("_c")
-    )
-    width = interval_millis(span)
-    t = F.col("_c.open_time")
-    bars = steps.groupBy("symbol", F.window("_step", f"{interval_seconds(span)} seconds").alias("_w")).agg(
-        F.min(t).alias("first"),
-        F.min_by("_c.open", t).alias("open"),
-        F.min_by("_c.close", t).alias("first_close"),
-        F.max("_c.high").alias("high"),
-        F.min("_c.low").alias("low"),
-        F.max_by("_c.close", t).alias("close"),
-        F.round(F.sum("_c.volume"), 8).alias("volume"),
-        F.round(F.sum("_c.quote_volume"), 8).alias("quote_volume"),
-        F.sum("_c.trade_count").alias("trade_count"),
-    )
-    closed = bars.withColumn("kline_start", F.unix_millis("_w.start")).drop("_w")
-
-    class CarryClose(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.close_state = handle.getValueState("close", "close double")
-
-        def handleInputRows(self, key, rows, timerValues):
-            pdf = _gather(rows, "kline_start")
-            before = self.close_state.get()[0] if self.close_state.exists() else None
-            for i in pdf.index:
-                if pdf.at[i, "first"] > pdf.at[i, "kline_start"]:
-                    seed = before if before is not None else pdf.at[i, "first_close"]
-                    pdf.at[i, "open"] = seed
-                    pdf.at[i, "high"] = max(pdf.at[i, "high"], seed)
-                    pdf.at[i, "low"] = min(pdf.at[i, "low"], seed)
-                before = float(pdf.at[i, "close"])
-            if before is not None:
-                self.close_state.update((before,))
-            pdf = pdf.assign(kline_close=pdf["kline_start"] + width - 1, interval=span, is_closed=True)
-            yield pdf[[f.split()[0] for f in ROLLUP_FIELDS.split(", ")]]
-
-        def close(self) -> None:
-            pass
-
-    return closed.groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=CarryClose(),
-        outputStructType=ROLLUP_FIELDS,
-        outputMode="Append",
-        timeMode="None",
-    )
+def _mode(ttl_ms: int | None) -> str:
+    """State can only expire by the wall clock. A stream whose state does has no end of its own: see ``streams.drain``."""
+    return "None" if ttl_ms is None else "ProcessingTime"
 
 
 class Indicators(StatefulProcessor):
@@ -105,13 +43,13 @@ class Indicators(StatefulProcessor):
     PERIODS = (12, 26)
     KEEP = 50
 
-    def __init__(self, scale: int = 8) -> None:
-        self.scale = scale
+    def __init__(self, scale: int = 8, ttl_ms: int | None = None) -> None:
+        self.scale, self.ttl_ms = scale, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.closes = handle.getValueState("closes", "closes array<double>")
-        self.averages = handle.getValueState("averages", "ema12 double, ema26 double")
-        self.last = handle.getValueState("last", "time bigint")
+        self.closes = handle.getValueState("closes", "closes array<double>", self.ttl_ms)
+        self.averages = handle.getValueState("averages", "ema12 double, ema26 double", self.ttl_ms)
+        self.last = handle.getValueState("last", "time bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _gather(rows, "open_time").drop_duplicates("open_time")
@@ -120,43 +58,47 @@ class Indicators(StatefulProcessor):
         if pdf.empty:
             return
         self.last.update((int(pdf["open_time"].iloc[-1]),))
-        closes = list(self.closes.get()[0]) if self.closes.exists() else []
-        emas = list(self.averages.get()) if self.averages.exists() else None
-        out = []
-        for t, close in zip(pdf["open_time"], pdf["close"]):
-            close = float(close)
-            closes = [*closes, close][-self.KEEP:]
-            if emas is None:
-                emas = [close] * len(self.PERIODS)
-            else:
-                emas = [e + (close - e) * 2 / (n + 1) for e, n in zip(emas, self.PERIODS)]
-            means = [sum(closes[-n:]) / n if len(closes) >= n else None for n in (20, 50)]
-            out.append((key[0], int(t), close, *means, *emas))
-        self.closes.update((closes,))
-        self.averages.update(tuple(emas))
+        before = np.array(self.closes.get()[0] if self.closes.exists() else [], "float64")
+        close = pdf["close"].to_numpy("float64")
+        closes = np.concatenate((before, close))
+        emas = self.averages.get() if self.averages.exists() else (None,) * len(self.PERIODS)
+        out = pd.DataFrame({"symbol": key[0], "timestamp": pdf["open_time"].to_numpy("int64"), "close": close})
+        for n in (20, 50):
+            out[f"sma{n}"] = pd.Series(closes).rolling(n).mean().to_numpy()[len(before) :]
+        for n, e in zip(self.PERIODS, emas, strict=True):
+            # The average before the batch stands as a first value, from which the recurrence goes on.
+            whole = pd.Series(close if e is None else np.concatenate(([e], close)))
+            out[f"ema{n}"] = whole.ewm(alpha=2 / (n + 1), adjust=False).mean().to_numpy()[-len(close) :]
+        self.closes.update((closes[-self.KEEP :].tolist(),))
+        self.averages.update(tuple(float(out[f"ema{n}"].iloc[-1]) for n in self.PERIODS))
         names = [f.split()[0] for f in INDICATOR_FIELDS.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
         measures = names[3:]
-        frame[measures] = frame[measures].astype("float64").round(self.scale)
-        yield frame
+        out[measures] = out[measures].round(self.scale).astype(object).where(out[measures].notna(), None)
+        yield out[names]
 
     def close(self) -> None:
         pass
 
 
-def stream_indicators(df: DataFrame, scale: int = 8) -> DataFrame:
-    """Indicators of each closed candle (symbol, open_time, close), in order of time per symbol."""
+def stream_indicators(df: DataFrame, scale: int = 8, ttl_ms: int | None = None) -> DataFrame:
+    """Indicators of each closed candle (symbol, open_time, close), in order of time per symbol.
+
+    With ``ttl_ms`` a symbol without candles for that long is forgotten and starts anew.
+    """
     return df.select("symbol", "open_time", "close").groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=Indicators(scale), outputStructType=INDICATOR_FIELDS, outputMode="Append", timeMode="None"
+        statefulProcessor=Indicators(scale, ttl_ms), outputStructType=INDICATOR_FIELDS, outputMode="Append", timeMode=_mode(ttl_ms)
     )
 
 
-def stream_throttle(df: DataFrame, heartbeat_ms: int = HEARTBEAT_MS) -> DataFrame:
-    """The ticks (symbol, event_time, price) that are sent, with the reason: change or heartbeat."""
+def stream_throttle(df: DataFrame, heartbeat_ms: int = HEARTBEAT_MS, ttl_ms: int | None = None) -> DataFrame:
+    """The ticks (symbol, event_time, price) that are sent, with the reason: change or heartbeat.
+
+    With ``ttl_ms`` a symbol without sent ticks for that long is forgotten; its next tick counts as a change.
+    """
 
     class Throttle(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.sent = handle.getValueState("sent", "price double, time bigint")
+            self.sent = handle.getValueState("sent", "price double, time bigint", ttl_ms)
 
         def handleInputRows(self, key, rows, timerValues):
             pdf = _gather(rows, "event_time")
@@ -192,7 +134,7 @@ def stream_throttle(df: DataFrame, heartbeat_ms: int = HEARTBEAT_MS) -> DataFram
         statefulProcessor=Throttle(),
         outputStructType="symbol string, event_time bigint, price double, reason string",
         outputMode="Append",
-        timeMode="None",
+        timeMode=_mode(ttl_ms),
     )
 
 
@@ -201,9 +143,12 @@ class LiveCandle(StatefulProcessor):
 
     FIELDS = ["open_time", "open", "high", "low", "close", "volume"]
 
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.sent = handle.getValueState(
-            "sent", "open_time bigint, open double, high double, low double, close double, volume double"
+            "sent", "open_time bigint, open double, high double, low double, close double, volume double", self.ttl_ms
         )
 
     def handleInputRows(self, key, rows, timerValues):
@@ -218,14 +163,74 @@ class LiveCandle(StatefulProcessor):
         pass
 
 
-def stream_live_candle(df: DataFrame) -> DataFrame:
-    """Changes of the live candle (symbol, event_time and the candle), one row per change."""
+def stream_live_candle(df: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Changes of the live candle (symbol, event_time and the candle), one row per change.
+
+    With ``ttl_ms`` a candle that was not updated for that long is forgotten, and sent again when it comes back.
+    """
     return df.select("symbol", "event_time", *LiveCandle.FIELDS).groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=LiveCandle(),
+        statefulProcessor=LiveCandle(ttl_ms),
         outputStructType=(
             "symbol string, event_time bigint, open_time bigint, open double, high double, low double, "
             "close double, volume double"
         ),
         outputMode="Append",
-        timeMode="None",
+        timeMode=_mode(ttl_ms),
+    )
+
+
+# How long ticks count as recent, how long a silent symbol's history stays, how many writes go between
+# two trims; and the life of a book, of second candles and of minute candles.
+HISTORY_MS = 300_000
+HISTORY_TTL_MS = 600_000
+TRIM_EVERY = 60
+BOOK_TTL_MS = 300_000
+CANDLE_TTL_MS = {"1s": 86_400_000, "1m": 7 * 86_400_000}
+
+
+class TickHistory(StatefulProcessor):
+    """The recent ticks of a symbol, as a list that grows by each batch and is trimmed now and then."""
+
+    def __init__(self, window_ms: int, ttl_ms: int | None, trim_every: int) -> None:
+        self.window_ms, self.ttl_ms, self.trim_every = window_ms, ttl_ms, trim_every
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ticks = handle.getListState("ticks", "event_time bigint, price double", self.ttl_ms)
+        self.writes = handle.getValueState("writes", "writes bigint", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = _gather(rows, "event_time")
+        held = list(self.ticks.get()) if self.ticks.exists() else []
+        time = np.concatenate((np.array([t for t, _ in held], "int64"), new["event_time"].to_numpy("int64")))
+        price = np.concatenate((np.array([p for _, p in held], "float64"), new["price"].to_numpy("float64")))
+        order = np.argsort(time, kind="stable")
+        time, price = time[order], price[order]
+        own = new["event_time"].to_numpy("int64")
+        first, last = np.searchsorted(time, own - self.window_ms), np.searchsorted(time, own, "right")
+        top = np.array([price[a:b].max() for a, b in zip(first, last, strict=True)])
+        writes = (self.writes.get()[0] if self.writes.exists() else 0) + len(own)
+        if writes >= self.trim_every:
+            keep = np.searchsorted(time, time[-1] - self.window_ms)
+            self.ticks.put(list(zip(time[keep:].tolist(), price[keep:].tolist(), strict=True)))
+            writes = 0
+        else:
+            self.ticks.appendList(list(zip(own.tolist(), new["price"].astype("float64").tolist(), strict=True)))
+        self.writes.update((writes,))
+        yield new.assign(held=(last - first).astype("int64"), top=top)[["symbol", "event_time", "price", "held", "top"]]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_history(df: DataFrame, window_ms: int = HISTORY_MS, ttl_ms: int | None = HISTORY_TTL_MS, trim_every: int = TRIM_EVERY) -> DataFrame:
+    """Each tick (symbol, event_time, price) with the number of ticks in the ``window_ms`` up to it, and their top price.
+
+    The ticks are held per symbol; those out of the window go at the first write after ``trim_every`` others. A symbol
+    that is silent for ``ttl_ms`` by the wall clock leaves state altogether.
+    """
+    return df.select("symbol", "event_time", "price").groupBy("symbol").transformWithStateInPandas(
+        statefulProcessor=TickHistory(window_ms, ttl_ms, trim_every),
+        outputStructType="symbol string, event_time bigint, price double, held bigint, top double",
+        outputMode="Append",
+        timeMode=_mode(ttl_ms),
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Sequence
+from datetime import datetime
+from time import sleep, time_ns
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +90,32 @@ def start_sink(
     return writer.start()
 
 
+class Marks:
+    """The last batch that each sink of a stream took, as one empty file per sink, named by the batch."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.root = path
+        self.files = self.path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _folder(self, name: str):  # noqa: ANN202
+        return self.path(f"{self.root}/{name}")
+
+    def _all(self, name: str) -> list[int]:
+        folder = self._folder(name)
+        return [int(f.getPath().getName()) for f in self.files.listStatus(folder)] if self.files.exists(folder) else []
+
+    def last(self, name: str) -> int:
+        return max(self._all(name), default=-1)
+
+    def set(self, name: str, batch_id: int) -> None:
+        before = self._all(name)
+        self.files.create(self.path(f"{self.root}/{name}/{batch_id}"), True).close()
+        for old in before:
+            if old < batch_id:
+                self.files.delete(self.path(f"{self.root}/{name}/{old}"), False)
+
+
 def fan_out(
     df: DataFrame,
     sinks: dict[str, Callable[[DataFrame, int], None]],
@@ -98,15 +126,19 @@ def fan_out(
 ) -> StreamingQuery:
     """Write each micro-batch of one stream to several sinks.
 
-    The batch is computed once and kept while the sinks read it. A failing sink fails the batch; sinks
-    must therefore be idempotent, as the upserts are.
+    The batch is computed once and kept while the sinks read it. A failing sink fails the batch, which is then repeated;
+    a sink that had taken it is left out, since each one's last batch is marked next to the checkpoint. So sinks may
+    append. Only where the process dies between a sink's write and its mark does that sink see a batch again.
     """
+    marks = Marks(df.sparkSession, f"{checkpoint.rstrip('/')}-sinks")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            for sink in sinks.values():
-                sink(batch, batch_id)
+            for name, sink in sinks.items():
+                if marks.last(name) < batch_id:
+                    sink(batch, batch_id)
+                    marks.set(name, batch_id)
         finally:
             batch.unpersist()
 
@@ -115,6 +147,32 @@ def fan_out(
     return writer.start()
 
 
+def drain(query: StreamingQuery, silent_ms: int, poll_s: float = 0.2) -> None:
+    """Let a query with processing-time timers take all input of its ``once`` run, then flush by timer, and stop it.
+
+    Such a query never ends by itself, since a timer may always fire later. It is done when a batch without input has
+    begun ``silent_ms`` after the end of the last batch with input, and is not the first after it (that may be one that
+    an earlier run left half done): timers up to then have fired.
+    """
+    begun, empty = time_ns() / 1e6, 0
+    seen = -1
+    while query.isActive:
+        for batch in query.recentProgress:
+            if batch.batchId <= seen:
+                continue
+            seen, start = batch.batchId, datetime.fromisoformat(str(batch.timestamp)).timestamp() * 1000
+            if batch.numInputRows:
+                begun, empty = start + batch.batchDuration, 0
+            else:
+                empty += 1
+        if empty > 1 and start >= begun + silent_ms:
+            break
+        sleep(poll_s)
+    if query.exception():
+        raise query.exception()
+    query.stop()
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows a query dropped because they came after the watermark, in the progress entries Spark still holds."""
     return sum(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from candlelake.schemas import KLINE, TRADE
 from candlelake.sources import tables, topics
 from candlelake.sources.tables import with_day
-from candlelake.streaming import stateful, streams
+from candlelake.streaming import stateful, streams, windows
 from candlelake.workspace import work_dir
 from suite.base import C1H, DAY, END, HOUR, MINUTE, TICKS, candles, klines, ohlcv, query, sql, ticks
 from suite.candle_queries import GRID
@@ -18,6 +18,8 @@ from suite.series_queries import NUMBERED, THROTTLE, _ema_sql, _sma_sql
 #: Steps the files land in; each becomes one micro-batch.
 STEPS = 4
 FILES = 2
+#: A symbol without rows for this long (wall clock, ms) gets its open windows by timer.
+SILENT = 1000
 
 
 def landed(spark, df, time, path):
@@ -43,12 +45,15 @@ def state_partitions(spark):
         spark.conf.set(name, before)
 
 
-def finished(stream, spark, time=None):
-    """Run a stream over all input that is there; returns what it wrote."""
+def finished(stream, spark, time=None, silent_ms=0):
+    """Run a stream over all input that is there; returns what it wrote.
+
+    A stream with timers is left to flush by them ``silent_ms`` after the last of its input.
+    """
     work = work_dir(spark)
     with state_partitions(spark):
         query_ = streams.start_sink(stream, f"{work}/out", f"{work}/checkpoint", time, once=True)
-        query_.awaitTermination()
+        streams.drain(query_, silent_ms) if silent_ms else query_.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{work}/out")
 
 
@@ -69,13 +74,13 @@ def trade_rows(spark, sf):
     sql(
         TICKS,
         ohlcv("c", "ticks", HOUR),
-        f"""SELECT symbol, open_time, open, high, low, close, volume, trade_count FROM c
-        WHERE open_time + {HOUR} <= (SELECT max(t) FROM ticks) - {MINUTE}""",
+        "SELECT symbol, open_time, open, high, low, close, volume, trade_count FROM c",
     ),
 )
 def stream_ohlcv(spark, sf):
     source = landed(spark, trade_rows(spark, sf), "event_time", work_dir(spark) + "/crypto_trades")
-    return finished(streams.stream_candles(source, "1h"), spark)
+    streams.use_rocksdb(spark)
+    return finished(windows.stream_candles(source, "1h", idle_ms=SILENT, quiet_ms=SILENT), spark, silent_ms=SILENT)
 
 
 @query(
@@ -127,7 +132,7 @@ def stream_klines(spark, sf):
         GRID,
         f"""SELECT symbol, w AS kline_start, first(open ORDER BY open_time) AS open, max(high) AS high, min(low) AS low,
         last(close ORDER BY open_time) AS close, round(sum(volume), 8) AS volume, CAST(sum(trade_count) AS BIGINT) AS trade_count FROM f
-        WHERE w + {HOUR} <= (SELECT max(open_time) FROM m) - {2 * MINUTE} GROUP BY symbol, w""",
+        GROUP BY symbol, w""",
     ),
 )
 def stream_rollup(spark, sf):
@@ -136,7 +141,7 @@ def stream_rollup(spark, sf):
     # An earlier copy of each step, with other prices, must lose against the later one.
     stale = rows.withColumns({"close": F.col("close") + 5, "volume": F.lit(0.0), "event_time": F.lit(0)})
     source = landed(spark, rows.unionByName(stale), "open_time", work_dir(spark) + "/candles")
-    out = finished(stateful.stream_rollup(source, "1m", "1h"), spark)
+    out = finished(windows.stream_rollup(source, "1m", "1h", idle_ms=SILENT, quiet_ms=SILENT), spark, silent_ms=SILENT)
     return out.select("symbol", "kline_start", "open", "high", "low", "close", "volume", "trade_count")
 
 
@@ -183,6 +188,21 @@ def stream_live(spark, sf):
     return finished(stateful.stream_live_candle(source), spark).select("symbol", "event_time", "open_time", "close")
 
 
+@query(
+    "stream_history",
+    sql(
+        TICKS,
+        f"""SELECT symbol, t AS event_time, price, count(*) OVER w AS held, max(price) OVER w AS top FROM ticks
+        WINDOW w AS (PARTITION BY symbol ORDER BY t RANGE BETWEEN {3 * HOUR} PRECEDING AND CURRENT ROW)""",
+    ),
+)
+def stream_history(spark, sf):
+    """Ticks of the last three hours per symbol; what is silent for seven days by the wall clock leaves state."""
+    streams.use_rocksdb(spark)
+    source = landed(spark, ticks(spark, sf).select("symbol", "event_time", "price"), "event_time", work_dir(spark) + "/ticks")
+    return finished(stateful.stream_history(source, 3 * HOUR, ttl_ms=7 * DAY), spark, silent_ms=1)
+
+
 @query(
     "stream_fanout",
     sql(

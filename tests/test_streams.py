@@ -10,7 +10,7 @@ from candlelake.operators.candles import rollup, trades_to_candles
 from candlelake.operators.indicators import indicator_table
 from candlelake.sources import topics
 from candlelake.sources.tables import read_latest, upsert_latest, upsert_series
-from candlelake.streaming import stateful, streams
+from candlelake.streaming import stateful, streams, windows
 
 M = 60_000
 
@@ -29,10 +29,10 @@ class Feed:
     def stream(self):
         return topics.read_stream(self.spark, self.path + "/in", self.schema, files_per_trigger=1)
 
-    def run(self, build, time=None):
+    def run(self, build, time=None, silent_ms=0):
         stream = build(self.stream())
         query = streams.start_sink(stream, self.path + "/out", self.path + "/cp", time, once=True)
-        query.awaitTermination()
+        streams.drain(query, silent_ms) if silent_ms else query.awaitTermination()
         self.query = query
         return self.spark.read.schema(stream.schema).parquet(self.path + "/out")
 
@@ -132,26 +132,99 @@ def test_rollup_equals_the_batch_form(spark, feed):
                 rows.append((s, t * 1000, 0.5, 99.0, 0.1, 50.0, 9.0, 9.0, 9, 2 * t - 1))
     for part in batches(rows, 5):
         f.land(part)
-    f.land([("Z", 10**8, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1, 1)])
-    out = f.run(stateful.stream_rollup)
+    out = f.run(lambda df: windows.stream_rollup(df, idle_ms=1500, quiet_ms=1500), silent_ms=1500)
     columns = [c for c in out.columns if c != "quote_volume"]
     want = rollup(spark.createDataFrame(rows, STEPS), arrival=["event_time"]).select(*columns)
-    assert sorted(map(tuple, out.select(*columns).where("symbol != 'Z'").collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, out.select(*columns).collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_silent_symbol_is_flushed_once(feed):
+def test_silent_symbols_are_flushed_by_timer_and_late_rows_counted(spark, feed):
     f = feed(STEPS)
+    build = lambda df: windows.stream_rollup(df, idle_ms=600, quiet_ms=600)
 
     def step(s, t, c, e=1):
         return (s, t, c, c, c, c, 1.0, c, 1, e)
 
     f.land([step("QUIET", 1000, 5.0), step("BUSY", 1000, 1.0)])
-    f.land([step("BUSY", 4 * M, 2.0)])
-    f.land([step("QUIET", 10 * M + 1000, 7.0), step("BUSY", 20 * M, 3.0)])
-    f.land([step("BUSY", 40 * M, 3.0)])
-    out = f.run(stateful.stream_rollup)
-    quiet = sorted((r["kline_start"], r["open"], r["low"], r["close"]) for r in out.where("symbol = 'QUIET'").collect())
-    assert quiet == [(0, 5.0, 5.0, 5.0), (10 * M, 5.0, 5.0, 7.0)]
+    out = f.run(build, silent_ms=600)  # nobody speaks any more: both minutes come out, the last ones of the stream too
+    assert sorted((r["symbol"], r["kline_start"], r["close"]) for r in out.collect()) == [("BUSY", 0, 1.0), ("QUIET", 0, 5.0)]
+    f.land([step("QUIET", 2000, 9.0), step("QUIET", M + 5000, 7.0), step("BUSY", 4 * M, 2.0)])  # minute 0 is out: the first row is late
+    out = f.run(build, silent_ms=600)
+    quiet = sorted((r["kline_start"], r["open"], r["high"], r["low"], r["close"]) for r in out.where("symbol = 'QUIET'").collect())
+    assert quiet == [(0, 5.0, 5.0, 5.0, 5.0), (M, 5.0, 7.0, 5.0, 7.0)]
+    assert out.count() == 4
+    state = spark.read.format("statestore").option("path", f.path + "/cp").option("stateVarName", "clock").load()
+    assert {r.key[0]: (r.value.late, r.value.timer) for r in state.collect()} == {"QUIET": (1, None), "BUSY": (0, None)}
+    pieces = spark.read.format("statestore").option("path", f.path + "/cp").option("stateVarName", "pieces").load()
+    assert pieces.count() == 0
+
+
+def test_a_window_over_several_batches_is_emitted_once(feed):
+    f = feed(STEPS)
+    for t in range(0, 50_000, 10_000):
+        f.land([("A", t, 1.0 + t, 1.0 + t, 1.0 + t, 1.0 + t, 1.0, 1.0, 1, 1)])
+    f.land([("A", 3 * M, 2.0, 2.0, 2.0, 2.0, 1.0, 1.0, 1, 1)])
+    out = f.run(lambda df: windows.stream_rollup(df, idle_ms=2500, quiet_ms=2500), silent_ms=2500)
+    assert sorted((r["kline_start"], r["volume"], r["close"]) for r in out.collect()) == [(0, 5.0, 40_001.0), (3 * M, 1.0, 2.0)]
+
+
+def test_trade_candles_of_a_silent_stream(spark, feed):
+    f, rows = feed(TRADES), trade_rows(11)
+    for part in batches(rows, 3):
+        f.land(part)
+    out = f.run(lambda df: windows.stream_candles(df, "1m", idle_ms=1500, quiet_ms=1500), silent_ms=1500)
+    columns = ["symbol", "open_time", "open", "high", "low", "close", "volume", "trade_count"]
+    want = trades_to_candles(spark.createDataFrame(rows, TRADES), "1m").select(*columns)
+    assert sorted(map(tuple, out.select(*columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_state_of_a_silent_symbol_expires(spark, feed):
+    f = feed("symbol string, event_time bigint, price double")
+    build = lambda df: stateful.stream_history(df, window_ms=100, ttl_ms=8000, trim_every=3)
+
+    def held(name):
+        return spark.read.format("statestore").option("path", f.path + "/cp").option("stateVarName", name).load()
+
+    f.land([("GONE", 10, 1.0), ("GONE", 20, 3.0)])
+    f.run(build, silent_ms=1)
+    assert {r.key[0] for r in held("writes").collect()} == {"GONE"}
+    f.land([("HERE", 30, 2.0)])
+    f.run(build, silent_ms=8500)
+    assert held("writes").count() == 0 and held("ticks").count() == 0
+    f.land([("GONE", 40, 2.0), ("HERE", 200, 1.0), ("HERE", 210, 5.0), ("HERE", 215, 4.0)])
+    out = f.run(build, silent_ms=1)
+    got = {(r.symbol, r.event_time): (r.held, r.top) for r in out.collect()}
+    assert got[("GONE", 20)] == (2, 3.0) and got[("GONE", 40)] == (1, 2.0)  # its history had gone
+    assert got[("HERE", 210)] == (2, 5.0) and got[("HERE", 215)] == (3, 5.0)
+
+
+def test_fan_out_to_append_sinks_writes_no_batch_twice(spark, feed, tmp_path):
+    f = feed("symbol string, open_time bigint, close double")
+    f.land([("A", 0, 1.0), ("B", 0, 2.0)])
+    f.land([("A", M, 3.0)])
+    root = str(tmp_path / "sinks")
+    failing = [True]
+
+    def append(name):
+        return lambda batch, batch_id: batch.write.mode("append").parquet(f"{root}/{name}")
+
+    def second(batch, batch_id):
+        if failing[0]:
+            raise RuntimeError("sink is down")
+        append("second")(batch, batch_id)
+
+    def run():
+        streams.fan_out(f.stream(), {"first": append("first"), "second": second}, root + "/cp", once=True).awaitTermination()
+
+    with pytest.raises(Exception, match="sink is down"):
+        run()
+    assert spark.read.parquet(root + "/first").count() == 2
+    failing[0] = False
+    run()
+    for name in ("first", "second"):
+        assert sorted(r["close"] for r in spark.read.parquet(f"{root}/{name}").collect()) == [1.0, 2.0, 3.0]
+    marks = streams.Marks(spark, root + "/cp-sinks")
+    assert marks.last("first") == marks.last("second") == 1 and marks._all("first") == [1]
 
 
 def test_indicators_equal_the_batch_form_across_a_restart(spark, feed):
