@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from candlelake.functions.time import bucket
 from candlelake.operators.merge import best_candles
 from candlelake.operators.series import CANDLE_CHUNK_ROWS, latest, over_chunks
+from candlelake.operators.walk import newest_days
 from candlelake.schemas import CANDLE_COLUMNS, interval_millis
 
 #: Places candle sums are rounded to.
@@ -108,10 +109,14 @@ def rollup(df: DataFrame, step: str = "1s", span: str = "1m", arrival: Sequence[
     )
 
 
-def current_bar(df: DataFrame, interval: str) -> DataFrame:
-    """The newest window of each symbol, aggregated from its finer candles, and the newest of those."""
+def current_bar(df: DataFrame, interval: str, symbols: Sequence[str] | DataFrame | None = None) -> DataFrame:
+    """The newest window of each symbol, aggregated from its finer candles, and the newest of those.
+
+    With ``symbols``, only the newest days of a table stored by day are read, as many as these symbols need.
+    """
     size = interval_millis(interval)
-    bars = df.groupBy("symbol", bucket("open_time", size).alias("_bucket")).agg(
+    rows = newest_days(df, symbols, 1, unit_ms=size)[0]
+    bars = rows.groupBy("symbol", bucket("open_time", size).alias("_bucket")).agg(
         F.min_by("open", "open_time").alias("open"),
         F.max("high").alias("high"),
         F.min("low").alias("low"),
@@ -127,10 +132,12 @@ def rollup_hourly(df: DataFrame) -> DataFrame:
     return resample(df, "1h")
 
 
-def last_time(table: DataFrame, time: str = "kline_start", interval: str | None = "1m") -> DataFrame:
-    """Last stored time of each symbol."""
+def last_time(
+    table: DataFrame, time: str = "kline_start", interval: str | None = "1m", symbols: Sequence[str] | DataFrame | None = None
+) -> DataFrame:
+    """Last stored time of each symbol; with ``symbols`` of these, out of the newest days that hold a row of each."""
     rows = table if interval is None else table.where(F.col("interval") == interval)
-    return rows.groupBy("symbol").agg(F.max(time).alias("last_time"))
+    return newest_days(rows, symbols, 1, time=time)[0].groupBy("symbol").agg(F.max(time).alias("last_time"))
 
 
 def last_per_window(

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from candlelake.functions.numeric import money_flow, typical_price
-from candlelake.operators.recurrence import affine_scan
-from candlelake.operators.series import CANDLE_CHUNK_ROWS, forward_fill, over_chunks, with_index, with_previous
+from candlelake.operators.recurrence import Smooth, smooth
+from candlelake.operators.series import CANDLE_CHUNK_ROWS, over_chunks, with_index, with_previous
 from candlelake.schemas import interval_millis
 
 KEYS = ["symbol"]
@@ -55,60 +55,31 @@ def ema(
     ``seed="first"`` starts at the first close and has a value on every row. ``seed="sma"`` starts with
     the mean of the first n closes and returns rows from there on.
     """
-    k = 2 / (n + 1)
-    a = 1 - k
-    if seed == "first":
-        def weight(i: Column) -> Column:
-            return F.when(i == 0, 1.0).otherwise(k)
-    elif seed == "sma":
-        weight = _mean_seed(n, a, k)
-    else:
+    if seed not in ("first", "sma"):
         raise ValueError(f"unknown seed {seed!r}")
     name = name or f"ema{n}"
-    out = affine_scan(df, KEYS, ORDER, {name: "close"}, a, weight, interval_millis(interval))
+    out = smooth(df, KEYS, ORDER, "close", [_ema(n, name, seed)], interval_millis(interval))
     if seed == "sma":
         out = out.where(F.col("idx") >= n - 1)
     return out.withColumn(name, F.round(name, scale)).drop("idx")
 
 
-def _mean_seed(n: int, a: float, k: float, first: int = 0) -> Callable[[Column], Column]:
-    """Weights that make the recurrence equal the plain mean of n inputs once n of them were seen."""
-    last = first + n - 1
-
-    def weight(i: Column) -> Column:
-        head = F.pow(F.lit(float(a)), (i - last).cast("double")) / n if a > 0 else F.when(i == last, 1.0 / n).otherwise(0.0)
-        return F.when(i < first, 0.0).when(i <= last, head).otherwise(k)
-
-    return weight
+def _ema(n: int, name: str, seed: str = "first") -> Smooth:
+    return Smooth(name, 1 - 2 / (n + 1), n if seed == "sma" else 0)
 
 
 def rsi(df: DataFrame, interval: str, n: int = 14, scale: int = 2) -> DataFrame:
-    """Relative strength index with Wilder smoothing; rows from the n-th change on."""
-    changes = with_previous(df, KEYS, ORDER, _width(interval), _prev="close")
-    diff = F.col("close") - F.col("_prev")
-    moves = changes.withColumns(
-        {
-            "_gain": F.when(diff > 0, diff).otherwise(0.0),
-            "_loss": F.when(diff < 0, -diff).otherwise(0.0),
-        }
-    ).drop("_prev")
+    """Relative strength index with Wilder smoothing; rows from the n-th change on.
+
+    A row without a change has the value of the last row that moved, also where both averages have long become too small
+    for a double. Before any loss the smoothed loss is exactly 0.
+    """
     a = (n - 1) / n
-    smooth = affine_scan(
-        moves, KEYS, ORDER, {"_up": "_gain", "_down": "_loss"}, a, _mean_seed(n, a, 1 / n, first=1),
-        interval_millis(interval),
-    )
-    # Without a change both averages shrink alike and their ratio stays, also where they are too small for a double:
-    # a quiet row has the value of the last row that moved. Before any loss the smoothed loss is exactly 0.
-    value = F.when(F.col("_down") == 0, 100.0).otherwise(
-        100 - 100 / (1 + F.col("_up") / F.when(F.col("_down") == 0, 1.0).otherwise(F.col("_down")))
-    )
-    moved = smooth.withColumn("rsi", F.when((F.col("_gain") > 0) | (F.col("_loss") > 0), value))
-    return (
-        forward_fill(moved, KEYS, ORDER, "rsi", _width(interval))
-        .where(F.col("idx") >= n)
-        .withColumn("rsi", F.round(F.coalesce("rsi", F.lit(100.0)), scale))
-        .drop("idx", "_gain", "_loss", "_up", "_down")
-    )
+    out = smooth(df, KEYS, ORDER, "close", [Smooth("_up", a, n, 1), Smooth("_down", a, n, -1)], interval_millis(interval))
+    gone = (F.col("_up") <= 0) & (F.col("_down") <= 0)
+    up, down = (F.when(gone, F.col("_moved")[side]).otherwise(F.col(f"_{side}")) for side in ("up", "down"))
+    value = F.when(F.coalesce(down, F.lit(0.0)) <= 0, 100.0).otherwise(100 - 100 / (1 + up / F.when(down > 0, down).otherwise(1.0)))
+    return out.where(F.col("idx") >= n).withColumn("rsi", F.round(value, scale)).drop("idx", "_up", "_down", "_moved")
 
 
 def mfi(df: DataFrame, interval: str, n: int = 14, scale: int = 2, width_ms: int | None = None) -> DataFrame:
@@ -176,12 +147,9 @@ def normalize_series(df: DataFrame, interval: str, places: int = 6) -> DataFrame
 
 def indicator_table(df: DataFrame, interval: str = "1m", scale: int = 8) -> DataFrame:
     """The stored indicator row of each closed candle: sma20, sma50, ema12, ema26 and the close."""
-    out = sma(df.select("symbol", "open_time", "close"), interval, 20, 50, scale=scale)
-    for n in (12, 26):
-        out = ema(out, interval, n, scale=scale)
-    return out.select(
-        "symbol", F.col("open_time").alias("timestamp"), "close", "sma20", "sma50", "ema12", "ema26"
-    )
+    out = smooth(df.select("symbol", "open_time", "close"), KEYS, ORDER, "close", [_ema(n, f"ema{n}") for n in (12, 26)], interval_millis(interval), (20, 50))
+    found = [F.round(c, scale).alias(name) for c, name in (("mean20", "sma20"), ("mean50", "sma50"), ("ema12", "ema12"), ("ema26", "ema26"))]
+    return out.select("symbol", F.col("open_time").alias("timestamp"), "close", *found)
 
 
 _REGISTRY: dict[str, Callable[..., DataFrame]] = {"sma": sma, "ema": ema, "rsi": rsi, "mfi": mfi}

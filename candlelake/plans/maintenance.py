@@ -36,7 +36,7 @@ def load_history(source: DataFrame, table: str, as_of: int, mode: str = "increme
         raise ValueError(f"unknown mode {mode!r}")
     rows = source.where(F.col("kline_start") < as_of - as_of % 60_000)
     if mode == "incremental":
-        rows = incremental(rows, last_time(source.sparkSession.table(table)))
+        rows = incremental(rows, last_time(source.sparkSession.table(table), symbols=rows.select("symbol").distinct()))
     append_klines(rows, table)
 
 

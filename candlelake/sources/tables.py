@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from candlelake.functions.time import day_of, to_timestamp
 from candlelake.operators.filters import before, closed_only, select_symbols, time_range
 from candlelake.operators.series import last_n, latest
+from candlelake.operators.walk import newest_days
 from candlelake.schemas import DAY_MS, KLINE, TICKER, TRADE
 
 DAY = "day"
@@ -190,10 +191,15 @@ def read_candles(
     time: str = "open_time",
     width_ms: int = 30 * DAY_MS,
 ) -> DataFrame:
-    """Candles of one interval in ``[start, end)``, the newest ``n`` of each symbol."""
+    """Candles of one interval in ``[start, end)``, the newest ``n`` of each symbol.
+
+    The newest ``n`` of given symbols are looked for backwards, day by day (see ``newest_days``).
+    """
     rows = select_symbols(df, symbols)
     if "interval" in df.columns:
         rows = rows.where(F.col("interval") == interval)
+    if n is not None and symbols is not None:
+        rows = newest_days(rows, symbols, n, end, time, start=start)[0]
     if start is not None and end is not None:
         rows = time_range(rows, start, end, time, max_days=None)
     elif end is not None:

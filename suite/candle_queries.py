@@ -9,6 +9,8 @@ from candlelake.operators import candles as C
 from candlelake.operators import filters, gaps, indicators, merge
 from candlelake.operators.series import last_n
 from candlelake.plans import queries as P
+from candlelake.sources.tables import with_day
+from candlelake.workspace import work_dir
 from suite.base import (
     AS_OF, C1H, CUT, DAY, END, HOUR, MINUTE, SPLIT, TICKS, again, candles, klines, ohlcv, query, sql, table, ticks, trades,
 )
@@ -408,6 +410,69 @@ def klines_query(spark, sf):
     )
 
 
+SYMBOLS = ["click", "error", "purchase", "signup", "view"]
+
+
+def by_day(df):
+    """A copy of candles stored by day."""
+    path = work_dir(df.sparkSession)
+    with_day(df, "open_time").write.partitionBy("day").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@query(
+    "klines_before",
+    sql(
+        C1H,
+        ohlcv("m", "ticks", MINUTE),
+        f"""fine AS (SELECT symbol, open_time, open, high, low, close + CASE WHEN open_time >= {SPLIT} THEN 1 ELSE 2 END AS close, volume
+                 FROM m WHERE open_time < {CUT} AND (open_time // {HOUR}) % 7 <> 0)""",
+        again("hours", "fine", HOUR),
+        f"""every AS (SELECT * FROM hours UNION ALL
+                  SELECT {OHLCV.replace("close", "close + 3 AS close")} FROM c1h WHERE open_time < {CUT} AND (open_time // {HOUR}) % 7 = 0)""",
+        again("r", "every", 4 * HOUR),
+        f"SELECT {OHLCV} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS n FROM r) WHERE n <= 60",
+    ),
+)
+def klines_before(spark, sf):
+    """Three different tiers stored by day; the warm one begins at SPLIT, some hours stand in the hourly table alone."""
+    hour = F.pmod((F.col("open_time") / HOUR).cast("bigint"), F.lit(7))
+    minute = candles(spark, sf, "1m").select(*OHLCV_COLUMNS).where(hour != 0)
+    warm, cold = (by_day(minute.where(F.col("open_time") >= first).withColumn("close", F.col("close") + shift)) for first, shift in ((SPLIT, 1), (0, 2)))
+    hourly = by_day(candles(spark, sf).select(*OHLCV_COLUMNS).withColumn("close", F.col("close") + 3))
+    return P.klines(
+        hot=minute, warm=warm, cold=cold, hourly=hourly, ticker=ticker_before(spark, sf, AS_OF), interval="4h", limit=60,
+        as_of=SPLIT + 90 * DAY, end=CUT, symbols=SYMBOLS,
+    )
+
+
+@query(
+    "klines_1s",
+    sql(
+        TICKS,
+        ohlcv("s", "ticks", 1000),
+        f"""SELECT symbol, open_time, open, high, low, close + 1 AS close, volume + 1 AS volume
+        FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS n FROM s WHERE open_time < {CUT}) WHERE n <= 90""",
+    ),
+)
+def klines_1s(spark, sf):
+    """Seconds, each also as an earlier copy of smaller volume."""
+    second = candles(spark, sf, "1s").select(*OHLCV_COLUMNS)
+    fuller = second.withColumns({"close": F.col("close") + 1, "volume": F.col("volume") + 1})
+    hot = by_day(second.unionByName(fuller))
+    none = second.limit(0)
+    return P.klines(hot, none, none, none, ticker_before(spark, sf, AS_OF), "1s", 90, AS_OF, end=CUT, symbols=SYMBOLS)
+
+
+@query(
+    "last_time_by_day",
+    sql(C1H, "SELECT symbol, max(open_time) AS last_time FROM c1h GROUP BY symbol"),
+)
+def last_time_by_day(spark, sf):
+    """Out of the newest days of a stored table, as many as the symbols need."""
+    return C.last_time(by_day(candles(spark, sf)), "open_time", None, SYMBOLS)
+
+
 def ticker_before(spark, sf, as_of):
     from candlelake.operators.live import latest_ticker
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from candlelake.functions.time import epoch_ms
-from candlelake.operators import book, filters, gaps, indicators, live, symbols, ticks as T
+from candlelake.operators import book, filters, gaps, indicators, live, recurrence, series, symbols, ticks as T
 from candlelake.plans.maintenance import backfill_gaps
+from candlelake.schemas import interval_millis
 from candlelake.streaming.streams import expire
 from suite.base import (
     AS_OF, C1H, CUT, DAY, END, HOUR, MINUTE, SPLIT, TICKS, candles, klines, ohlcv, query, sql, table, ticks,
@@ -90,6 +91,53 @@ def rsi(spark, sf):
     return indicators.rsi(rows, "15m").drop("close")
 
 
+QUIET = "q AS (SELECT symbol, open_time, floor(close / 250) * 250 AS close FROM c1h)"
+NUMBERED_QUIET = NUMBERED.replace("c1h", "q")
+
+
+@query("rsi_quiet", sql(C1H, QUIET, NUMBERED_QUIET, RSI, "SELECT * FROM rsi"))
+def rsi_quiet(spark, sf):
+    """Closes in steps of 250: most rows do not move."""
+    rows = candles(spark, sf).select("symbol", "open_time", (F.floor(F.col("close") / 250) * 250.0).alias("close"))
+    return indicators.rsi(rows, "15m").drop("close")
+
+
+COPIES = "q AS (SELECT symbol, open_time, close FROM c1h, range(5) AS copies(n))"
+
+
+@query("ema_copies", sql(C1H, COPIES, NUMBERED_QUIET, _ema_sql(12, "a"), "SELECT symbol, open_time, n - 1 AS idx, round(y, 6) AS ema12 FROM a"))
+def ema_copies(spark, sf):
+    """Every candle five times: chunks in time hold more rows than candles."""
+    rows = candles(spark, sf).select("symbol", "open_time", "close", F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("copy"))
+    k = 2 / 13
+    out = recurrence.smooth(rows, ["symbol"], ["open_time", "copy"], "close", [recurrence.Smooth("ema12", 1 - k)], HOUR)
+    return out.select("symbol", "open_time", "idx", F.round("ema12", 6).alias("ema12"))
+
+
+@query(
+    "user_indicator",
+    sql(
+        C1H,
+        """SELECT symbol, open_time, round(high - low, 6) AS spread,
+        round(max(high) OVER w - min(low) OVER w, 6) AS channel FROM c1h
+        WINDOW w AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
+    ),
+)
+def user_indicator(spark, sf):
+    """An indicator of the user's own, registered by name: the height of a candle and of the last ten."""
+
+    def channel(df, interval, n=10):
+        def build(rows, w):
+            frame = w.rowsBetween(-(n - 1), 0)
+            return rows.withColumns({"spread": F.round(F.col("high") - F.col("low"), 6), "channel": F.round(F.max("high").over(frame) - F.min("low").over(frame), 6)})
+
+        return series.over_chunks(df, ["symbol"], ["open_time"], interval_millis(interval) * series.CANDLE_CHUNK_ROWS, build, lookback=n - 1)
+
+    indicators.register_indicator("channel", channel)
+    rows = candles(spark, sf).select("symbol", "open_time", "high", "low")
+    return indicators.indicator("channel", rows, "1h").drop("high", "low")
+
+
 MFI = """p AS (SELECT symbol, open_time, (high + low + close) / 3 AS tp, (high + low + close) / 3 * volume AS mf FROM c1h),
 q AS (SELECT *, lag(tp) OVER (PARTITION BY symbol ORDER BY open_time) AS b FROM p),
 z AS (SELECT symbol, open_time,

