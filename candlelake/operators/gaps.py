@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlelake.functions.time import bucket
+from candlelake.functions.time import bucket, day_of
 from candlelake.operators.candles import last_per_window
+from candlelake.operators.filters import time_range
 from candlelake.operators.series import CANDLE_CHUNK_ROWS, over_chunks, with_previous
 from candlelake.schemas import DAY_MS, GAP_LOOKBACK_MS, MIN_GAP_MS, interval_millis
 
@@ -77,9 +78,10 @@ def find_gaps(
 ) -> DataFrame:
     """Gaps longer than ``min_gap_ms`` between the minutes that hold a price, per symbol.
 
-    Rows marked ``source = 'backfill'`` do not count unless asked for, so a repaired gap is found again.
+    Rows marked ``source = 'backfill'`` do not count unless asked for, so a repaired gap is found again. A table stored by
+    day is read on the days of the look-back alone.
     """
-    rows = ticks.where((F.col("event_time") >= as_of - lookback_ms) & (F.col("event_time") < as_of))
+    rows = time_range(ticks, as_of - lookback_ms, as_of, "event_time", max_days=None)
     if "source" in ticks.columns and not include_backfill:
         rows = rows.where(F.col("source").isNull() | (F.col("source") != "backfill"))
     points = last_per_window(rows, 60_000, tie=tie).select("symbol", "event_time")
@@ -97,7 +99,8 @@ def repair_gaps(gaps: DataFrame, source: DataFrame, time: str = "kline_start", w
     """Source rows that fall into a gap, both ends included.
 
     A range join as an equi join: gaps are listed under each time bucket they touch, source rows under
-    their own, so the join key is (symbol, bucket) and a busy symbol is spread over its buckets.
+    their own, so the join key is (symbol, bucket) and a busy symbol is spread over its buckets. With buckets of a day, a
+    source stored by day is joined on that too, so Spark may prune its partitions by the days of the gaps.
     """
     w = F.lit(width_ms).cast("bigint")
     listed = gaps.select(
@@ -108,7 +111,16 @@ def repair_gaps(gaps: DataFrame, source: DataFrame, time: str = "kline_start", w
     )
     rows = source.withColumn("_bucket", bucket(time, width_ms))
     inside = F.col(time).between(F.col("gap_start"), F.col("gap_end"))
-    return rows.join(listed, ["symbol", "_bucket"]).where(inside).drop("_bucket")
+    key = ["symbol", "_bucket"]
+    if "day" in source.columns and width_ms == DAY_MS:
+        listed, key = listed.withColumn("day", day_of("_bucket")), [*key, "day"]
+    return rows.join(listed, key).where(inside).drop("_bucket")
+
+
+def gap_days(gaps: DataFrame) -> DataFrame:
+    """The days that gaps touch, one row each."""
+    step = F.lit(DAY_MS).cast("bigint")
+    return gaps.select(F.explode(F.sequence(bucket("gap_start", DAY_MS), bucket("gap_end", DAY_MS), step)).alias("_d")).select(day_of("_d").alias("day")).distinct()
 
 
 def gap_summary(gaps: DataFrame, repaired: DataFrame | None = None) -> DataFrame:

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlelake.functions.time import day_of
 from candlelake.operators.candles import last_time
 from candlelake.operators.filters import select_symbols, time_range
-from candlelake.operators.gaps import find_gaps, repair_gaps
+from candlelake.operators.gaps import find_gaps, gap_days, gap_summary, repair_gaps
 from candlelake.operators.live import incremental
 from candlelake.schemas import DAY_MS, GAP_LOOKBACK_MS, MIN_GAP_MS, RETENTION_DAYS
 from candlelake.sources.messages import klines_to_ticks
-from candlelake.sources.tables import DAY, append_klines
+from candlelake.sources.tables import DAY, append_klines, backfill_points, read_ticks, write_points
+from candlelake.workspace import cut
 
 # Size a data file is brought to, and the number of small files worth a rewrite.
 TARGET_FILE_BYTES = 128 * 1024 * 1024
@@ -52,6 +53,32 @@ def backfill_gaps(
     return klines_to_ticks(repair_gaps(gaps, klines))
 
 
+def repair_points(
+    spark: SparkSession,
+    path: str,
+    klines: DataFrame,
+    as_of: int,
+    min_gap_ms: int = MIN_GAP_MS,
+    lookback_ms: int = GAP_LOOKBACK_MS,
+    include_backfill: bool = False,
+) -> DataFrame:
+    """Find the gaps of the stored tick points, land points from a kline source in them, and sum up what was done.
+
+    Both tables are read on few days only: the points on those of the look-back, a source stored by day on those that a
+    gap touches (their number is bounded by the look-back, so they come to the driver). Landed points carry
+    ``source = 'backfill'``. Since such points do not count as price, the next run finds the same gaps and writes the same
+    points again, which changes nothing; with ``include_backfill`` it finds what is still missing. Runs when called.
+    """
+    ticks = read_ticks(spark.read.parquet(path))
+    gaps = cut(find_gaps(ticks, as_of, min_gap_ms, lookback_ms, include_backfill))
+    if DAY in klines.columns:
+        klines = klines.where(F.col(DAY).isin([r[0] for r in gap_days(gaps).collect()]))
+    repaired = cut(repair_gaps(gaps, klines))
+    if not repaired.isEmpty():
+        write_points(backfill_points(klines_to_ticks(repaired)), path)
+    return gap_summary(gaps, repaired)
+
+
 def _table_replace(df: DataFrame, table: str) -> None:
     """Overwrite the day partitions that occur in ``df``, which may be read from the same table.
 

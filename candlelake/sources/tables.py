@@ -141,7 +141,8 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
 
 
 # The columns of a stored point that are tags; the rest are fields.
-POINT_TAGS = ["measurement", "symbol", "exchange", "interval"]
+POINT_TAGS = ["measurement", "symbol", "exchange", "interval", "source"]
+LIVE, BACKFILL = "live", "backfill"
 
 
 def candle_points(df: DataFrame, exchange: str = "spot") -> DataFrame:
@@ -152,18 +153,21 @@ def candle_points(df: DataFrame, exchange: str = "spot") -> DataFrame:
         "symbol",
         F.lit(exchange).alias("exchange"),
         "interval",
+        F.lit(LIVE).alias("source"),
         F.col("kline_start").alias("time"),
         "open", "high", "low", "close", "volume", "quote_volume", "trade_count", "is_closed", "event_time",
     )
 
 
 def tick_points(df: DataFrame, exchange: str = "spot") -> DataFrame:
-    """Points of the tick measurement, from ticker records."""
+    """Points of the tick measurement, from ticker records; their tag ``source`` tells live ones from repairs."""
+    source = F.coalesce(F.col("source"), F.lit(LIVE)) if "source" in df.columns else F.lit(LIVE)
     return df.where(F.col("symbol").isNotNull()).select(
         F.lit("market_ticks").alias("measurement"),
         "symbol",
         F.lit(exchange).alias("exchange"),
         F.lit("tick").alias("interval"),
+        source.alias("source"),
         F.col("event_time").alias("time"),
         F.col("close").alias("price"),
         "bid",
@@ -176,6 +180,18 @@ def tick_points(df: DataFrame, exchange: str = "spot") -> DataFrame:
     )
 
 
+def backfill_points(ticks: DataFrame, exchange: str = "spot") -> DataFrame:
+    """Points of the tick measurement, from rows that repair a gap (see ``klines_to_ticks``)."""
+    renamed = {"price": "close", "volume": "h24_volume", "quote_volume": "h24_quote_volume", "price_change_pct": "h24_price_change_pct", "trade_count": "h24_trade_count"}
+    return tick_points(ticks.withColumnsRenamed(renamed), exchange)
+
+
+def read_ticks(points: DataFrame) -> DataFrame:
+    """Stored points of the tick measurement as ticks: symbol, event_time, price, source and the day."""
+    rows = points.where(F.col("measurement") == "market_ticks")
+    return rows.select("symbol", F.col("time").alias("event_time"), "price", "source", DAY)
+
+
 def write_points(points: DataFrame, path: str) -> None:
     """Write points; one with the same tags and time replaces the stored one."""
     upsert_series(points, path, ["event_time"], time="time", keys=POINT_TAGS)

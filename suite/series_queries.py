@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from candlelake.functions.time import epoch_ms
 from candlelake.operators import book, filters, gaps, indicators, live, recurrence, series, symbols, ticks as T
-from candlelake.plans.maintenance import backfill_gaps
+from candlelake.plans.maintenance import backfill_gaps, repair_points
 from candlelake.schemas import interval_millis
+from candlelake.sources import tables
 from candlelake.streaming.streams import expire
+from candlelake.workspace import work_dir
 from suite.base import (
     AS_OF, C1H, CUT, DAY, END, HOUR, MINUTE, SPLIT, TICKS, candles, klines, ohlcv, query, sql, table, ticks,
 )
@@ -248,6 +250,35 @@ def backfill_gaps_query(spark, sf):
     return out.drop("quote_volume").withColumn("price_change_pct", F.round("price_change_pct", 6))
 
 
+@query(
+    "backfill_landed",
+    sql(
+        TICKS, GAPS, ohlcv("m", "ticks", MINUTE), SECOND,
+        """landed AS (SELECT DISTINCT src.symbol, kline_start AS t, close AS price FROM src JOIN g ON g.symbol = src.symbol AND kline_start BETWEEN gap_start AND gap_end),
+        points AS (SELECT symbol, t, 'backfill' AS source, price FROM landed UNION ALL SELECT symbol, t, 'live', max(price) FROM ticks GROUP BY symbol, t)""",
+        GAPS.replace("ticks", "points").replace("p AS", "p2 AS").replace("FROM p)", "FROM p2)").replace("FROM p ", "FROM p2 ").replace("g AS", "g2 AS"),
+        """SELECT symbol, t AS time, source, price FROM points
+        UNION ALL SELECT symbol, gap_start, 'gap', CAST(gap_end AS DOUBLE) FROM g
+        UNION ALL SELECT symbol, gap_start, 'gap left', CAST(gap_end AS DOUBLE) FROM g2""",
+    ),
+)
+def backfill_landed(spark, sf):
+    """Gaps in stored tick points are filled from klines stored by day; then looked for again, with and without repairs."""
+    path, source = work_dir(spark), work_dir(spark)
+    rows = ticks(spark, sf).groupBy("symbol", "event_time").agg(F.max("price").alias("price"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("bid", "double"), ("ask", "double"), ("volume", "double"), ("quote_volume", "double"), ("price_change_pct", "double"), ("trade_count", "bigint"))]
+    tables.write_points(tables.backfill_points(rows.select("*", *none)), path)
+    tables.with_day(second_source(spark, sf), "kline_start").write.partitionBy("day").parquet(source)
+    for _ in range(2):  # the second run changes nothing
+        repair_points(spark, path, spark.read.parquet(source), END, lookback_ms=31 * DAY)
+    points = spark.read.parquet(path)
+    found = [
+        gaps.find_gaps(tables.read_ticks(points), END, lookback_ms=31 * DAY, include_backfill=repairs).select("symbol", F.col("gap_start").alias("time"), F.lit(name).alias("source"), F.col("gap_end").cast("double").alias("price"))
+        for name, repairs in (("gap", False), ("gap left", True))
+    ]
+    return points.select("symbol", "time", "source", "price").unionByName(found[0]).unionByName(found[1])
+
+
 # --- ticks -----------------------------------------------------------------------------------------
 
 
