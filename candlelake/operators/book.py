@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,34 +45,45 @@ def book_metrics(df: DataFrame) -> DataFrame:
     )
 
 
-def _running(side: str) -> Column:
-    """Running total of the quantities of one side, inside the row."""
+#: Levels whose quantities are added up one by one; deeper books are added up block by block.
+LEVEL_BLOCK = 32
+
+
+def _added(parts: str | Column) -> Column:
+    return F.aggregate(parts, F.lit(0.0), lambda total, x: total + x)
+
 
-    def step(totals: Column, x: Column) -> Column:
-        return F.concat(totals, F.array(F.coalesce(F.try_element_at(totals, F.lit(-1)), F.lit(0.0)) + x["qty"]))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; a column named inside a lambda is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    return F.aggregate(side, F.array().cast("array<double>"), step)
+
+def _totals(levels: str) -> Column:
+    """Running quantities of a side; of a deep one, those of the blocks before and of the own block so far."""
+    qty = F.transform(levels, lambda x: x["qty"])
+    upto = lambda parts, i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0.0), lambda total, x: total + x)
+    shallow = F.transform(levels, lambda _, i: F.aggregate(F.slice(levels, 1, i + 1), F.lit(0.0), lambda total, x: total + x["qty"]))
+    last = F.greatest(F.size(levels) - 1, F.lit(0))
+    blocks = _let(qty, lambda q: F.transform(F.sequence(F.lit(0), F.floor(last / LEVEL_BLOCK).cast("int")), lambda j: F.slice(q, j * LEVEL_BLOCK + 1, LEVEL_BLOCK)))
+    inside = lambda block, before: F.transform(block, lambda _, i: before + upto(block, i))
+    deep = _let(blocks, lambda b: _let(F.transform(b, _added), lambda sums: F.flatten(F.transform(b, lambda block, j: _let(_added(F.slice(sums, 1, j)), lambda before: inside(block, before))))))
+    return F.when(F.size(levels) <= LEVEL_BLOCK, shallow).otherwise(deep)
 
 
 def book_ladder(df: DataFrame, *keys: str) -> DataFrame:
     """One row per level: running total, bar length in percent of the side's total, spread percent.
 
-    A book lives in one row and its depth is fixed by the exchange, so the running totals are taken
-    inside the array and nothing is shuffled.
+    A book lives in one row, so the running totals are taken inside the array and nothing is shuffled. A level takes its
+    own total along, not the whole array.
     """
     ask, bid = _best("asks"), _best("bids")
     spread = F.when(ask.isNotNull() & bid.isNotNull() & (ask != 0), F.round((ask - bid) / ask * 100, 3)).otherwise(0.0)
-    sides = F.array(
-        *[
-            F.struct(F.lit(name).alias("side"), F.col(c).alias("levels"), _running(c).alias("totals"))
-            for name, c in (("bid", "bids"), ("ask", "asks"))
-        ]
-    )
-    rows = df.select(*keys, spread.alias("spread_pct"), F.explode(sides).alias("_s")).select(
-        *keys, "spread_pct", "_s.side", F.col("_s.totals").alias("_totals"), F.posexplode("_s.levels").alias("level", "_l")
-    )
-    whole = F.round(F.try_element_at("_totals", F.lit(-1)), 4)
-    total = F.round(F.get("_totals", F.col("level")), 4)
+    sides = F.array(*[F.struct(F.lit(name).alias("side"), F.col(c).alias("levels")) for name, c in (("bid", "bids"), ("ask", "asks"))])
+    parts = df.select(*keys, spread.alias("spread_pct"), F.explode(sides).alias("_s")).select(*keys, "spread_pct", "_s.*")
+    levels = F.zip_with("levels", _totals("levels"), lambda x, t: F.struct(x["price"].alias("price"), x["qty"].alias("qty"), t.alias("total")))
+    whole = F.round(F.aggregate("levels", F.lit(0.0), lambda total, x: total + x["qty"]), 4)
+    rows = parts.select(*keys, "spread_pct", "side", whole.alias("_whole"), F.posexplode(levels).alias("level", "_l"))
+    whole, total = F.col("_whole"), F.round("_l.total", 4)
     return rows.select(
         *keys,
         "side",

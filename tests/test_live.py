@@ -158,3 +158,20 @@ def test_partition_skew_counts_rows_and_keys(spark):
     rows = symbols.partition_skew(df, partitions=1).collect()
     assert [(r["partition"], r["rows"], r["keys"]) for r in rows] == [(0, 6, 2)]
     assert symbols.partition_skew(df).agg(F.sum("rows")).first()[0] == 6
+
+
+def test_ladder_of_a_deep_book(spark):
+    from candlelake.operators.book import book_ladder
+
+    sides = [[(100.0 - i, float(i % 7 + 1)) for i in range(n)] for n in (0, 1, 32, 33, 500)]
+    ddl = "id bigint, bids array<struct<price:double,qty:double>>, asks array<struct<price:double,qty:double>>"
+    df = spark.createDataFrame([(i, side, sides[-1 - i]) for i, side in enumerate(sides)], ddl)
+    got = {(r.id, r.side, r.level): (r.price, r.total, r.bar_pct) for r in book_ladder(df, "id").collect()}
+    expected = {}
+    for i, bids in enumerate(sides):
+        for name, side in (("bid", bids), ("ask", sides[-1 - i])):
+            total = 0.0
+            for n, (price, qty) in enumerate(side):
+                total += qty
+                expected[i, name, n] = (price, total, round(total / sum(q for _, q in side) * 100, 4))
+    assert got == expected
