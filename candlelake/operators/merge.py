@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from candlelake.functions.time import bucket
 from candlelake.operators.series import TICK_CHUNK_MS, last_n, latest, running_max
+from candlelake.schemas import DAY_MS
 
 KEY = ["symbol", "open_time"]
 RANK = "_rank"
@@ -81,8 +82,12 @@ def diff_candles(old: DataFrame, new: DataFrame, skip_last: bool = True) -> Data
 
 
 def cap_series(df: DataFrame, rows: int, width_ms: int | None = None) -> DataFrame:
-    """Keep the newest ``rows`` candles of each symbol."""
-    return last_n(df, rows, ["symbol"], ["open_time"], width_ms)
+    """Keep the newest ``rows`` candles of each symbol.
+
+    The limit is taken per time chunk of ``width_ms`` first, so that no task of the final limit gets a whole series; as
+    wide as a day by default.
+    """
+    return last_n(df, rows, ["symbol"], ["open_time"], width_ms or DAY_MS)
 
 
 def apply_update(

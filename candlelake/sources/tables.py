@@ -16,6 +16,9 @@ from candlelake.schemas import DAY_MS, KLINE, TICKER, TRADE
 
 DAY = "day"
 SHARD = "shard"
+#: Shards of a new latest-value table, and the name of the marker file that keeps their number.
+SHARDS = 16
+SHARDS_MARK = "_shards_"
 
 _TS = T.TimestampType()
 
@@ -99,6 +102,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def _has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds partitions."""
+    if not _exists(spark, path):
+        return False
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return any("=" in f.getPath().getName() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root))
+
+
 def upsert(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], part: str) -> None:
     """Merge rows into a partitioned table: one row per key, the one with the highest order.
 
@@ -109,7 +120,7 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str],
     spark = df.sparkSession
     kept: list[str] = []
     new = df.withColumn("_new", F.lit(1))
-    if _exists(spark, path):
+    if _has_rows(spark, path):
         touched = [r[0] for r in df.select(part).distinct().collect()]  # partition values, not rows
         stored = spark.read.option("mergeSchema", "true").parquet(path).where(F.col(part).isin(touched))
         changed = [c for c in df.columns if c in stored.columns and c != part and stored.schema[c].dataType != df.schema[c].dataType]
@@ -130,9 +141,28 @@ def upsert_series(df: DataFrame, path: str, order: Sequence[str], time: str = "o
     upsert(with_day(df, time), path, [*keys, time], order, DAY)
 
 
-def upsert_latest(df: DataFrame, path: str, order: Sequence[str], key: str = "symbol", shards: int = 16) -> None:
-    """Upsert into a latest-value table with one row per key, stored by hash shard of the key."""
-    sharded = df.withColumn(SHARD, F.pmod(F.hash(key), F.lit(shards)))
+def _shards(spark: SparkSession, path: str, wanted: int | None) -> int:
+    """Shards of a latest-value table: as its first writer laid down in a marker file, which readers skip."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = [f.getPath().getName() for f in files.listStatus(root)] if files.exists(root) else []
+    stored = [int(name.removeprefix(SHARDS_MARK)) for name in marks if name.startswith(SHARDS_MARK)]
+    if stored and wanted not in (None, stored[0]):
+        raise ValueError(f"the table has {stored[0]} shards, not {wanted}")
+    if stored:
+        return stored[0]
+    count = wanted or SHARDS
+    files.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{SHARDS_MARK}{count}"), True).close()
+    return count
+
+
+def upsert_latest(df: DataFrame, path: str, order: Sequence[str], key: str = "symbol", shards: int | None = None) -> None:
+    """Upsert into a latest-value table with one row per key, stored by hash shard of the key.
+
+    Only shards that the batch touches are rewritten, so a table of many keys wants many. Their number is laid down by the
+    first call and kept with the table: another one would leave stale copies, and is refused.
+    """
+    sharded = df.withColumn(SHARD, F.pmod(F.hash(key), F.lit(_shards(df.sparkSession, path, shards))))
     upsert(sharded, path, [key], order, SHARD)
 
 

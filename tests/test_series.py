@@ -419,3 +419,37 @@ def test_ema_of_a_series_with_copies(candles):
         expected.append(round(y, 8))
     assert len(out) == len(rows)
     assert max(abs(a - b) for a, b in zip(sorted(out), sorted(expected), strict=True)) < 1e-7
+
+
+def test_indicator_table_reads_its_candles_once(spark, tmp_path):
+    from candlelake.operators.indicators import indicator_table, sma
+
+    rows = [(f"S{i % 5}", i // 5 * 60_000, float(i * 37 % 101)) for i in range(20_000)]
+    spark.createDataFrame(rows, "symbol string, open_time bigint, close double").write.parquet(str(tmp_path / "c"))
+    candles_ = spark.read.parquet(str(tmp_path / "c"))
+    out = indicator_table(candles_)
+    got = {(r.symbol, r.timestamp): (r.sma20, r.sma50) for r in out.collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    shuffles = [line for line in plan.splitlines() if "Exchange" in line and "Reused" not in line and "Broadcast" not in line]
+    assert plan.count("FileScan") == 1 and len(shuffles) <= 4
+    want = {(r.symbol, r.open_time): (r.sma20, r.sma50) for r in sma(candles_, "1m", 20, 50).collect()}
+    assert got.keys() == want.keys()
+    for k, v in got.items():
+        assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-7) for a, b in zip(v, want[k], strict=True))
+
+
+def test_means_over_sparse_and_dense_chunks(spark, tiny_chunks):
+    """A tail that spans many chunks of a row or two, and chunks with several parts."""
+    tiny_chunks(3)
+    rng = random.Random(4)
+    times = sorted(rng.sample(range(0, 4000), 300)) + [4000] * 40 + list(range(4001, 4100))
+    rows = [("A", t * 60_000, i, round(rng.uniform(1, 9), 2)) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "symbol string, open_time bigint, copy int, close double")
+    out = recurrence.smooth(df, ["symbol"], ["open_time", "copy"], "close", [recurrence.Smooth("y", 0.9)], 60_000, (20, 50))
+    got = {r.idx: (r.mean20, r.mean50, r.y) for r in out.collect()}
+    closes_, y = [r[3] for r in rows], None
+    for i, x in enumerate(closes_):
+        y = x if y is None else 0.9 * y + 0.1 * x
+        for n, value in ((20, got[i][0]), (50, got[i][1])):
+            assert (value is None) == (i < n - 1) and (value is None or abs(value - sum(closes_[i - n + 1 : i + 1]) / n) < 1e-9)
+        assert abs(got[i][2] - y) < 1e-9

@@ -265,3 +265,14 @@ def test_repaired_points_are_landed_once_and_read_few_days(spark, tmp_path):
     gaps_found = maintenance.find_gaps(tables.read_ticks(spark.read.parquet(path)), 240 * H, 2 * H)
     assert any("day" in f and ">=" in f for f in scanned(gaps_found))
     assert [str(r[0]) for r in maintenance.gap_days(gaps_found).collect()] == ["1970-01-05"]
+
+
+def test_the_number_of_shards_stays_with_the_table(spark, tmp_path):
+    path = str(tmp_path / "latest")
+    ddl = "symbol string, close double, event_time bigint"
+    tables.upsert_latest(spark.createDataFrame([("A", 1.0, 1), ("B", 2.0, 1)], ddl), path, ["event_time"], shards=3)
+    tables.upsert_latest(spark.createDataFrame([("A", 5.0, 2), ("C", 3.0, 1)], ddl), path, ["event_time"])
+    assert sorted(tuple(r) for r in tables.read_latest(spark, path).collect()) == [("A", 5.0, 2), ("B", 2.0, 1), ("C", 3.0, 1)]
+    assert spark.read.parquet(path).agg(F.max("shard")).first()[0] < 3
+    with pytest.raises(ValueError, match="3 shards"):
+        tables.upsert_latest(spark.createDataFrame([("A", 1.0, 1)], ddl), path, ["event_time"], shards=16)
