@@ -11,6 +11,7 @@ from candlelake.functions.time import bucket
 from candlelake.operators.candles import current_bar
 from candlelake.operators.filters import require, select_symbols
 from candlelake.operators.series import latest
+from candlelake.operators.walk import DAY, newest_days
 from candlelake.schemas import CANDLE_COLUMNS, interval_millis
 
 
@@ -54,11 +55,13 @@ def enrich_live(
 
     While the newest candle's window is open at ``as_of`` and the ticker is newer than every finer
     candle, its price moves close, high and low. A ticker in a newer window appends a flat candle. Only
-    one row per symbol decides; it meets the candles on (symbol, open time), so no symbol is gathered.
+    one row per symbol decides; it meets the candles on (symbol, open time), so no symbol is gathered. Where candles are
+    stored by day, newest times are looked for on the newest days that hold a row of each ticker.
     """
     size = interval_millis(interval)
-    last = candles.groupBy("symbol").agg(F.max("open_time").alias("_last"))
-    newest_sub = sub.groupBy("symbol").agg(F.max("open_time").alias("_sub"))
+    recent = lambda df: newest_days(df, ticker.select("symbol"), 1)[0] if DAY in df.columns else df
+    last = recent(candles).groupBy("symbol").agg(F.max("open_time").alias("_last"))
+    newest_sub = recent(sub).groupBy("symbol").agg(F.max("open_time").alias("_sub"))
     window = bucket("event_time", size)
     live = (
         ticker.where(F.col("price").isNotNull() & (F.col("price") != 0) & F.col("event_time").isNotNull())

@@ -175,3 +175,17 @@ def test_ladder_of_a_deep_book(spark):
                 total += qty
                 expected[i, name, n] = (price, total, round(total / sum(q for _, q in side) * 100, 4))
     assert got == expected
+
+
+def test_live_ticker_on_candles_stored_by_day(spark, tmp_path):
+    from candlelake.sources.tables import with_day
+
+    hour = 3_600_000
+    rows = [(s, h * hour, 1.0, 2.0, 0.5, 1.5, 1.0) for s in "AB" for h in range(240 if s == "A" else 30)]
+    plain = spark.createDataFrame(rows, "symbol string, open_time bigint, open double, high double, low double, close double, volume double")
+    with_day(plain, "open_time").write.partitionBy("day").parquet(str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    quotes = spark.createDataFrame([("A", 9.0, 239 * hour + 5), ("B", 8.0, 40 * hour), ("C", 7.0, hour)], "symbol string, price double, event_time bigint")
+    columns = plain.columns
+    by_day = live.enrich_live(stored, stored, quotes, "1h", 239 * hour + 9).select(*columns)
+    assert sorted(map(tuple, by_day.collect())) == sorted(map(tuple, live.enrich_live(plain, plain, quotes, "1h", 239 * hour + 9).select(*columns).collect()))
