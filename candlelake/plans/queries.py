@@ -120,7 +120,7 @@ def klines(
     """
     size = interval_millis(interval)
     if interval == "1s":
-        hot = newest_days(hot, symbols, limit, end)[0]
+        hot = newest_days(hot, symbols, limit, end, unit_ms=size)[0]  # copies of a second count once
         return _newest(best_by_volume(hot, arrival), interval, limit)
     upto = as_of + 1 if end is None else end
     base = _base(warm, cold, interval, limit, upto, retention_cutoff(as_of), symbols)
