@@ -13,6 +13,7 @@ from candlelake.llm.decontamination import contaminated
 from candlelake.llm.html_text import extract_text
 from candlelake.llm.mixing import plan_mix
 from candlelake.llm.near_dedup import near_duplicates
+from candlelake.llm.oracles import ORACLES
 from candlelake.llm.quality import judge_quality
 from candlelake.llm.repeats import remove_repeats
 from candlelake.llm.secret_scan import KINDS, scan_secrets, span_text, train_secret_model
@@ -22,7 +23,6 @@ from candlelake.llm.warc import read_packages, write_packages
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:

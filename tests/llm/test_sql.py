@@ -1,0 +1,17 @@
+"""Queries of the subpackage against their SQL, on whole tables."""
+
+import os
+
+import pytest
+
+from candlelake.llm.oracles import ORACLES
+from candlelake.llm.queries import QUERIES
+from suite.compare import compare, connect
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith(("op1_", "op2_", "op3_", "op5_", "op7_", "op8_"))])
+def test_query(spark, name):
+    assert compare(spark, connect(SF), SF, QUERIES[name], ORACLES[name]) == ""
