@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from candlelake.functions.numeric import number
 from candlelake.operators.series import (
@@ -22,7 +19,6 @@ from candlelake.operators.series import (
     with_previous,
 )
 from candlelake.schemas import DAY_MS, HEARTBEAT_MS
-from candlelake.workspace import cut
 
 
 def parse_tick_member(df: DataFrame, member: str = "member") -> DataFrame:
@@ -127,88 +123,86 @@ def throttle(
     A tick is sent when its price differs from the previous one, or when a heartbeat has passed since
     the last tick *sent*. A change is always sent, and a tick within one heartbeat of the last change is
     always skipped; window functions settle both. Only ticks later in a run of one price depend on the
-    heartbeats before them. These are kept in the checkpoint folder, as several steps of ``_heartbeats``
-    read them.
+    heartbeats before them, see ``_heartbeats``. Of ticks of one time, the first is the heartbeat.
     """
     time = order[0]
     keyed = with_previous(df, ["symbol"], order, width_ms, _before="price")
     changed = F.col("_before").isNull() | (F.col("_before") != F.col("price"))
     marked = keyed.withColumn("_mark", F.when(changed, F.col(time))).drop("_before")
     runs = running_max(marked, ["symbol"], order, "_mark", width_ms, "_since").withColumn("_run", F.coalesce("_mark", "_since"))
-    open_ = F.col("_mark").isNull() & (F.col(time) - F.col("_run") >= heartbeat_ms)
-    settled = runs.where(~open_).withColumn("reason", F.when(F.col("_mark").isNotNull(), "change").otherwise("skipped"))
-    late = _heartbeats(cut(runs.where(open_).select(*df.columns, "_run")), heartbeat_ms, order, width_ms)
-    return settled.select(*df.columns, "reason").unionByName(late)
+    late = runs.where(F.col("_mark").isNull() & (F.col(time) - F.col("_run") >= heartbeat_ms))
+    moment = ["symbol", "_run", time]
+    beats = _heartbeats(late.select(*moment), heartbeat_ms, time, width_ms)
+    told = runs.join(beats, moment, "left").withColumn("_copy", F.row_number().over(Window.partitionBy(*moment).orderBy(*order)))
+    reason = F.when(F.col("_mark").isNotNull(), "change").when(F.col("_beat") & (F.col("_copy") == 1), "heartbeat").otherwise("skipped")
+    return told.select(*df.columns, reason.alias("reason"))
 
 
-def _heartbeats(df: DataFrame, heartbeat_ms: int, order: Sequence[str], width_ms: int) -> DataFrame:
-    """Decide the ticks of a run of one price that come a heartbeat or more after its start, ``_run``.
+def _heartbeats(late: DataFrame, heartbeat_ms: int, time: str, width_ms: int) -> DataFrame:
+    """The times, among those of ``late``, at which the runs of one price send: symbol, _run, time, _beat.
 
-    Runs are cut into time chunks, and each chunk is scanned once, from the last tick sent before it.
-    That is the start of the run, unless the run reaches over several chunks.
+    ``late`` has the times of a run from one heartbeat after its start, ``_run``. Every time points to
+    its successor, the first time a heartbeat later. A time chunk of a run is an array of these pointers;
+    the times sent are those on the path from the last time sent before the chunk, which doubling the
+    pointers finds in as many steps as the length of the path has binary digits.
     """
-    time, key = order[0], ["symbol", "_run", CHUNK]
-    base = chunked(df, order, width_ms)
-    columns = [c for c in df.columns if c != "_run"]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, sent = None, 0
-        for pdf in batches:
-            reason = []
-            for here, t, start in zip(zip(*(pdf[c] for c in key)), pdf[time], pdf["_sent"]):
-                if here != at:
-                    at, sent = here, start
-                due = t - sent >= heartbeat_ms
-                sent = t if due else sent
-                reason.append("heartbeat" if due else "skipped")
-            yield pdf[columns].assign(reason=reason)
-
-    started = base.join(_chunk_starts(base.select(*key, time), heartbeat_ms, time), key, "left").withColumn(
-        "_sent", F.coalesce("_sent", "_run")
+    key = ["symbol", "_run", CHUNK]
+    ahead = chunk_window(["symbol", "_run"], [time]).rangeBetween(Window.unboundedPreceding, heartbeat_ms - 1)
+    times = chunked(late, [time], width_ms).distinct().withColumn("_next", F.count(F.lit(1)).over(ahead).cast("int"))
+    chunks = times.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col("_next").alias("next")))).alias("_ticks"))
+    # A path has at most as many times as heartbeats fit into a chunk.
+    longest = F.least(F.size("_ticks"), F.lit((width_ms - 1) // heartbeat_ms + 1))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(longest)).cast("int"))
+    begun = chunks.join(_chunk_starts(chunks, rounds, heartbeat_ms), key, "left")
+    due = F.coalesce("_sent", "_run") + heartbeat_ms
+    begin = F.size(F.filter("_ticks", lambda x: x["t"] < due))
+
+    def further(path: Column, jump: Column) -> Column:
+        longer = F.concat(path, F.transform(path, lambda i: F.get(jump, i)))
+        return F.filter(longer, lambda i: i < F.size("_ticks"))
+
+    path = F.aggregate(
+        rounds,
+        F.struct(F.array(begin).alias("path"), F.col("_ticks.next").alias("jump")),
+        lambda at, _: F.struct(further(at["path"], at["jump"]).alias("path"), _doubled(at["jump"]).alias("jump")),
+        lambda at: F.transform(at["path"], lambda i: F.get("_ticks", i)["t"]),
     )
-    out = T.StructType([*[df.schema[c] for c in columns], T.StructField("reason", T.StringType())])
-    return started.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(scan, out)
+    return begun.select("symbol", "_run", F.explode(path).alias(time), F.lit(True).alias("_beat"))
 
 
-def _chunk_starts(base: DataFrame, heartbeat_ms: int, time: str) -> DataFrame:
-    """For runs over several chunks: the last tick sent before each chunk, as ``_sent``.
+def _doubled(jump: Column) -> Column:
+    """Pointers of twice the length; those beyond the end of the array are null."""
+    return F.transform(jump, lambda i: F.get(jump, i))
 
-    Each chunk reports, for every tick that could be its first heartbeat, which tick it would then send
-    last; these candidates lie within one heartbeat of the chunk's first tick. Following the reports of
-    a run from chunk to chunk gives every start, without a look at the ticks again.
+
+def _chunk_starts(chunks: DataFrame, rounds: Column, heartbeat_ms: int) -> DataFrame:
+    """For runs over several chunks: the last time sent before each chunk, as ``_sent``.
+
+    Each chunk reports, for every time that could be its first heartbeat, which time it would then send
+    last; these candidates lie within one heartbeat of the chunk's first time. Following the reports of
+    a run from chunk to chunk gives every start, without a look at the times again.
     """
     run = ["symbol", "_run"]
-    long = base.groupBy(*run).agg(F.min(CHUNK).alias("_a"), F.max(CHUNK).alias("_b")).where("_a < _b").select(*run)
-
-    def report(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf[time].to_numpy(np.int64))
-        following = np.searchsorted(t, t + heartbeat_ms)
-        last = np.arange(len(t))
-        for i in range(len(t) - 1, -1, -1):
-            if following[i] < len(t):
-                last[i] = last[following[i]]
-        count = int(np.searchsorted(t, t[0] + heartbeat_ms)) + 1
-        return pd.DataFrame(
-            {"symbol": [key[0]], "_run": [key[1]], CHUNK: [key[2]], "first": [t[:count]], "last": [t[last[:count]]]}
-        )
-
-    def follow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(CHUNK)
-        sent, starts = int(key[1]), []
-        for first, last in zip(pdf["first"], pdf["last"]):
-            starts.append(sent)
-            at = int(np.searchsorted(first, sent + heartbeat_ms))
-            if at < len(last):
-                sent = int(last[at])
-        return pd.DataFrame({"symbol": key[0], "_run": key[1], CHUNK: pdf[CHUNK].to_numpy(), "_sent": starts})
-
-    keys = f"symbol string, _run bigint, {CHUNK} bigint"
+    long = chunks.groupBy(*run).agg(F.count(F.lit(1)).alias("_chunks")).where("_chunks > 1").select(*run)
+    # The last time of a path points to itself.
+    own = F.transform("_ticks", lambda x, i: F.when(x["next"] < F.size("_ticks"), x["next"]).otherwise(i))
+    last = F.aggregate(rounds, own, lambda at, _: _doubled(at), lambda at: F.transform(at, lambda i: F.get("_ticks", i)["t"]))
+    near = F.size(F.filter("_ticks", lambda x: x["t"] < F.get("_ticks", F.lit(0))["t"] + heartbeat_ms))
     reports = (
-        base.join(long, run, "left_semi")
-        .groupBy(*run, CHUNK)
-        .applyInPandas(report, f"{keys}, first array<bigint>, last array<bigint>")
+        chunks.join(long, run, "left_semi")
+        .select(*run, CHUNK, F.col("_ticks.t").alias("first"), last.alias("last"), (near + 1).alias("_near"))
+        .select(*run, F.struct(CHUNK, F.slice(F.arrays_zip("first", "last"), F.lit(1), F.col("_near")).alias("ways")).alias("_report"))
     )
-    return reports.groupBy(*run).applyInPandas(follow, f"{keys}, _sent bigint")
+
+    def follow(at: Column, report: Column) -> Column:
+        way = F.get(F.filter(report["ways"], lambda x: x["first"] >= at["sent"] + heartbeat_ms), F.lit(0))
+        here = F.struct(report[CHUNK].alias(CHUNK), at["sent"].alias("_sent"))
+        return F.struct(F.coalesce(way["last"], at["sent"]).alias("sent"), F.concat(at["starts"], F.array(here)).alias("starts"))
+
+    none = F.array().cast(f"array<struct<{CHUNK}:bigint,_sent:bigint>>")
+    followed = reports.groupBy(*run).agg(F.array_sort(F.collect_list("_report")).alias("_reports"))
+    starts = F.aggregate("_reports", F.struct(F.col("_run").alias("sent"), none.alias("starts")), follow, lambda at: at["starts"])
+    return followed.select(*run, F.inline(starts))
 
 
 def throttle_summary(df: DataFrame) -> DataFrame:

@@ -337,7 +337,8 @@ def tick_members(spark, sf):
     return T.parse_tick_member(ticks(spark, sf).select("id", member.alias("member")))
 
 
-THROTTLE = f"""x AS (SELECT symbol, t AS event_time, id, floor(price / 40) * 40 AS price,
+def throttle_sql(step):
+    return f"""x AS (SELECT symbol, t AS event_time, id, floor(price / {step}) * {step} AS price,
   row_number() OVER (PARTITION BY symbol ORDER BY t, id) AS n FROM ticks),
 w AS (SELECT symbol, event_time, id, price, n, event_time AS sent, 'change' AS reason FROM x WHERE n = 1
   UNION ALL SELECT x.symbol, x.event_time, x.id, x.price, x.n,
@@ -346,8 +347,11 @@ w AS (SELECT symbol, event_time, id, price, n, event_time AS sent, 'change' AS r
   FROM w JOIN x ON x.symbol = w.symbol AND x.n = w.n + 1)"""
 
 
-def throttled(spark, sf):
-    rows = ticks(spark, sf).select("symbol", "event_time", "id", (F.floor(F.col("price") / 40) * 40.0).alias("price"))
+THROTTLE = throttle_sql(40)
+
+
+def throttled(spark, sf, step=40):
+    rows = ticks(spark, sf).select("symbol", "event_time", "id", (F.floor(F.col("price") / step) * float(step)).alias("price"))
     return T.throttle(rows, HOUR, ["event_time", "id"], DAY)
 
 
@@ -356,6 +360,12 @@ def throttle(spark, sf):
     return throttled(spark, sf)
 
 
+# Prices so coarse that they stand for days: most ticks sent are heartbeats, in runs over many chunks.
+@query("throttle_pegged", sql(TICKS, throttle_sql(400), "SELECT symbol, event_time, id, price, reason FROM w"))
+def throttle_pegged(spark, sf):
+    return throttled(spark, sf, 400)
+
+
 @query("throttle_summary", sql(TICKS, THROTTLE, "SELECT symbol, reason, count(*) AS ticks FROM w GROUP BY symbol, reason"))
 def throttle_summary(spark, sf):
     return T.throttle_summary(throttled(spark, sf))
