@@ -117,23 +117,24 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) ->
     return mean, scale, w
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 2000, dictionary_bytes: int = 16_384, share: float = 0.02, ratio: float = 20.0) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 2000, sample_bytes: int = 100_000, dictionary_bytes: int = 16_384, share: float = 0.02, ratio: float = 20.0) -> ToxicityModel:
     """Train on at most about `sample_docs` labelled documents of each label, chosen by a hash of their id.
 
-    The sample is what comes to the driver, and all of it trains the model. Equal texts count once. Null labels, and labels without a document, are
-    left out. With fewer than two labels in the sample all scores are its share of label 1, or 0.5 if it is empty.
+    Documents of more than `sample_bytes` bytes are scored like all others, but not trained on: the sample is what comes
+    to the driver, so it is bounded in rows and in bytes. All of it trains the model. Equal texts count once. Null labels,
+    and labels without a document, are left out. With fewer than two labels in the sample all scores are its share of label 1, or 0.5 if it is empty.
     """
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).distinct()
     sizes = {r["__label"]: r["n"] for r in known.groupBy("__label").agg(F.count("*").alias("n")).collect()}
     place = F.pmod(F.xxhash64(F.lit(3), "__id"), F.lit(1_000_000))
     chosen = None
     for label, n in sorted(sizes.items()):
-        part = known.filter((F.col("__label") == label) & (place < int(1_000_000 * min(1.0, sample_docs / n)))).limit(2 * sample_docs)
+        part = known.filter((F.col("__label") == label) & (place < int(1_000_000 * min(1.0, sample_docs / n)))).orderBy(place, "__id").limit(2 * sample_docs)
         chosen = part if chosen is None else chosen.unionAll(part)
     texts: dict[bytes, int] = {}
     if chosen is not None:
         # Bounded by the limits above, so it is broadcast and the documents are not shuffled.
-        rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id")
+        rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.octet_length("text") <= sample_bytes).join(F.broadcast(chosen), "__id")
         for r in sorted(((r["text"].encode(), int(r["__label"] > 0)) for r in rows.select("text", "__label").collect()), reverse=True):
             texts.setdefault(*r)
     toxic, ordinary = ([t for t, y in texts.items() if y == label] for label in (1, 0))

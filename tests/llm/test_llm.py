@@ -296,6 +296,19 @@ def test_ordinary_dictionary_is_trained_on_the_whole_sample(spark, monkeypatch):
     assert len(seen) > 640 and sorted(b"".join(seen)) == sorted("".join(t for i, t, _ in rows if i % 3).encode())
 
 
+def test_documents_over_the_sample_bytes_are_scored_but_not_trained_on(spark, monkeypatch):
+    rng, seen, train = random.Random(9), [], toxicity.zstandard.train_dictionary
+    rows = [(i, words(rng, 60) + (" vileword" if i % 3 == 0 else ""), "s") for i in range(90)] + [(91, "longone " * 500, "s")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(92)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, pieces, **more: seen.extend(pieces) or train(size, pieces, **more))
+    model = toxicity.train_toxicity(docs(spark, rows), labels, dictionary_bytes=1024, sample_bytes=3999)
+    assert sorted(b"".join(seen)) == sorted("".join(t for i, t, _ in rows[:90] if i % 3).encode())
+    assert toxicity.score_toxicity(docs(spark, rows), model).filter("doc_id = 91 AND score BETWEEN 0 AND 1").count() == 1
+    toxicity.train_toxicity(docs(spark, rows), labels, dictionary_bytes=1024, sample_bytes=4000)
+    assert any(b"longone" in x for x in seen)
+    assert toxicity.train_toxicity(docs(spark, rows), labels, sample_bytes=1).weights[0] == 0.0
+
+
 # --- 7 ---
 
 
