@@ -6,7 +6,7 @@ window, or the rows of one symbol in one micro-batch, whose size the source limi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -143,8 +143,8 @@ class LiveCandle(StatefulProcessor):
 
     FIELDS = ["open_time", "open", "high", "low", "close", "volume"]
 
-    def __init__(self, ttl_ms: int | None = None) -> None:
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int | None = None, tie: Sequence[str] = ()) -> None:
+        self.ttl_ms, self.tie = ttl_ms, tie
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.sent = handle.getValueState(
@@ -152,7 +152,7 @@ class LiveCandle(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _gather(rows, "event_time")
+        pdf = _gather(rows, "event_time", *self.tie)
         values = pdf[self.FIELDS].to_numpy("float64")
         before = list(self.sent.get()) if self.sent.exists() else [np.nan] * len(self.FIELDS)
         keep = (values != np.vstack((before, values[:-1]))).any(axis=1)
@@ -163,13 +163,13 @@ class LiveCandle(StatefulProcessor):
         pass
 
 
-def stream_live_candle(df: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def stream_live_candle(df: DataFrame, ttl_ms: int | None = None, tie: Sequence[str] = ()) -> DataFrame:
     """Changes of the live candle (symbol, event_time and the candle), one row per change.
 
-    With ``ttl_ms`` a candle that was not updated for that long is forgotten, and sent again when it comes back.
+    ``tie`` orders candles of the same time; without it they are taken in any order. With ``ttl_ms`` a candle that was not updated for that long is forgotten, and sent again when it comes back.
     """
-    return df.select("symbol", "event_time", *LiveCandle.FIELDS).groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=LiveCandle(ttl_ms),
+    return df.select("symbol", "event_time", *LiveCandle.FIELDS, *tie).groupBy("symbol").transformWithStateInPandas(
+        statefulProcessor=LiveCandle(ttl_ms, tie),
         outputStructType=(
             "symbol string, event_time bigint, open_time bigint, open double, high double, low double, "
             "close double, volume double"

@@ -182,10 +182,10 @@ def stream_live(spark, sf):
     price = F.floor(F.col("price") / 100) * 100.0
     rows = ticks(spark, sf).select(
         "symbol", "event_time", (F.col("event_time") - F.pmod("event_time", F.lit(DAY).cast("bigint"))).alias("open_time"),
-        *[price.alias(c) for c in ("open", "high", "low", "close")], F.lit(0.0).alias("volume"),
+        *[price.alias(c) for c in ("open", "high", "low", "close")], F.lit(0.0).alias("volume"), "id",
     )
     source = landed(spark, rows, "event_time", work_dir(spark) + "/ticks")
-    return finished(stateful.stream_live_candle(source), spark).select("symbol", "event_time", "open_time", "close")
+    return finished(stateful.stream_live_candle(source, tie=["id"]), spark).select("symbol", "event_time", "open_time", "close")
 
 
 @query(

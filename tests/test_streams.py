@@ -309,6 +309,16 @@ def test_live_candle_is_sent_on_change(feed):
     assert sorted((r["symbol"], r["event_time"]) for r in out.collect()) == [("A", 1), ("A", 3), ("A", 5), ("B", 6)]
 
 
+def test_live_candles_of_one_time_follow_their_tie(feed):
+    f = feed("symbol string, event_time bigint, open_time bigint, open double, high double, low double, close double, volume double, id bigint")
+    one, two = (0, 1.0, 1.0, 1.0, 1.0, 1.0), (0, 2.0, 2.0, 2.0, 2.0, 1.0)
+    f.land([("A", 1, *one, 4), ("A", 1, *two, 2), ("A", 1, *two, 1), ("A", 1, *one, 3)])  # in order of id: 2, 2, 1, 1
+    f.land([("A", 2, *two, 6), ("A", 2, *one, 5)])
+    out = f.run(lambda df: stateful.stream_live_candle(df, tie=["id"]))
+    assert out.columns == ["symbol", "event_time", "open_time", "open", "high", "low", "close", "volume"]
+    assert sorted((r["event_time"], r["close"]) for r in out.collect()) == [(1, 1.0), (1, 2.0), (2, 2.0)]
+
+
 def test_fan_out_feeds_every_sink_and_fails_as_one(spark, feed, tmp_path):
     f = feed("symbol string, open_time bigint, close double")
     f.land([("A", 0, 1.0), ("B", 0, 2.0)])
