@@ -90,10 +90,12 @@ def stream_indicators(df: DataFrame, scale: int = 8, ttl_ms: int | None = None)
     )
 
 
-def stream_throttle(df: DataFrame, heartbeat_ms: int = HEARTBEAT_MS, ttl_ms: int | None = None) -> DataFrame:
+def stream_throttle(
+    df: DataFrame, heartbeat_ms: int = HEARTBEAT_MS, ttl_ms: int | None = None, tie: Sequence[str] = ()
+) -> DataFrame:
     """The ticks (symbol, event_time, price) that are sent, with the reason: change or heartbeat.
 
-    With ``ttl_ms`` a symbol without sent ticks for that long is forgotten; its next tick counts as a change.
+    ``tie`` orders ticks of the same time; without it they are taken in any order. With ``ttl_ms`` a symbol without sent ticks for that long is forgotten; its next tick counts as a change.
     """
 
     class Throttle(StatefulProcessor):
@@ -101,7 +103,7 @@ def stream_throttle(df: DataFrame, heartbeat_ms: int = HEARTBEAT_MS, ttl_ms: int
             self.sent = handle.getValueState("sent", "price double, time bigint", ttl_ms)
 
         def handleInputRows(self, key, rows, timerValues):
-            pdf = _gather(rows, "event_time")
+            pdf = _gather(rows, "event_time", *tie)
             price, time = pdf["price"].to_numpy("float64"), pdf["event_time"].to_numpy("int64")
             known = self.sent.exists()
             last_price, last_time = self.sent.get() if known else (np.nan, 0)
@@ -122,7 +124,7 @@ def stream_throttle(df: DataFrame, heartbeat_ms: int = HEARTBEAT_MS, ttl_ms: int
                 while (at := at + np.searchsorted(time[at:end], anchor + heartbeat_ms)) < end:
                     reason[at], anchor = "heartbeat", time[at]
             pdf["reason"] = reason
-            out = pdf[pdf["reason"].notna()]
+            out = pdf.loc[pdf["reason"].notna(), ["symbol", "event_time", "price", "reason"]]
             if len(out):
                 self.sent.update((float(price[out.index[-1]]), int(time[out.index[-1]])))
             yield out
@@ -130,7 +132,7 @@ def stream_throttle(df: DataFrame, heartbeat_ms: int = HEARTBEAT_MS, ttl_ms: int
         def close(self) -> None:
             pass
 
-    return df.select("symbol", "event_time", "price").groupBy("symbol").transformWithStateInPandas(
+    return df.select("symbol", "event_time", "price", *tie).groupBy("symbol").transformWithStateInPandas(
         statefulProcessor=Throttle(),
         outputStructType="symbol string, event_time bigint, price double, reason string",
         outputMode="Append",

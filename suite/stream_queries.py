@@ -163,9 +163,9 @@ def stream_indicators(spark, sf):
 @query("stream_throttle", sql(TICKS, THROTTLE, "SELECT symbol, event_time, price, reason FROM w WHERE reason <> 'skipped'"))
 def stream_throttle(spark, sf):
     streams.use_rocksdb(spark)
-    rows = ticks(spark, sf).select("symbol", "event_time", (F.floor(F.col("price") / 40) * 40.0).alias("price"))
+    rows = ticks(spark, sf).select("symbol", "event_time", (F.floor(F.col("price") / 40) * 40.0).alias("price"), "id")
     source = landed(spark, rows, "event_time", work_dir(spark) + "/ticks")
-    return finished(stateful.stream_throttle(source, HOUR), spark)
+    return finished(stateful.stream_throttle(source, HOUR, tie=["id"]), spark)
 
 
 @query(

@@ -300,6 +300,16 @@ def test_throttle_equals_the_batch_form(spark, feed):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_throttled_ticks_of_one_time_follow_their_tie(feed):
+    f = feed("symbol string, event_time bigint, price double, id bigint")
+    f.land([("A", 1, 1.0, 4), ("A", 1, 2.0, 2), ("A", 1, 2.0, 1), ("A", 1, 1.0, 3)])  # in order of id: 2, 2, 1, 1
+    f.land([("A", 2, 2.0, 6), ("A", 2, 1.0, 5), ("A", 9_002, 2.0, 7)])
+    out = f.run(lambda df: stateful.stream_throttle(df, 9_000, tie=["id"]))
+    assert sorted(map(tuple, out.collect())) == [
+        ("A", 1, 1.0, "change"), ("A", 1, 2.0, "change"), ("A", 2, 2.0, "change"), ("A", 9_002, 2.0, "heartbeat")
+    ]
+
+
 def test_live_candle_is_sent_on_change(feed):
     f = feed("symbol string, event_time bigint, open_time bigint, open double, high double, low double, close double, volume double")
     same = (0, 1.0, 1.0, 1.0, 1.0, 1.0)
