@@ -190,33 +190,50 @@ BOOK_TTL_MS = 300_000
 CANDLE_TTL_MS = {"1s": 86_400_000, "1m": 7 * 86_400_000}
 
 
+def _top(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The largest of ``values[first:last]`` for each pair (none empty), from the maxima of runs of 1, 2, 4, ... values."""
+    length = last - first
+    longest, size, out = length.max(), 1, np.empty(len(first))
+    while True:
+        # Two runs, from the front and from the back, cover what is less than twice as long.
+        own = np.flatnonzero((length >= size) & (length < 2 * size))
+        out[own] = np.maximum(values[first[own]], values[last[own] - size])
+        if 2 * size > longest:
+            return out
+        values = np.maximum(values[:-size], values[size:])
+        size *= 2
+
+
 class TickHistory(StatefulProcessor):
-    """The recent ticks of a symbol, as a list that grows by each batch and is trimmed now and then."""
+    """The recent ticks of a symbol, as a list that grows by each batch and is trimmed now and then.
+
+    An element holds the ticks of a write: the store reads a list again for each element added to it.
+    """
 
     def __init__(self, window_ms: int, ttl_ms: int | None, trim_every: int) -> None:
         self.window_ms, self.ttl_ms, self.trim_every = window_ms, ttl_ms, trim_every
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ticks = handle.getListState("ticks", "event_time bigint, price double", self.ttl_ms)
+        self.ticks = handle.getListState("ticks", "event_time array<bigint>, price array<double>", self.ttl_ms)
         self.writes = handle.getValueState("writes", "writes bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         new = _gather(rows, "event_time")
         held = list(self.ticks.get()) if self.ticks.exists() else []
-        time = np.concatenate((np.array([t for t, _ in held], "int64"), new["event_time"].to_numpy("int64")))
-        price = np.concatenate((np.array([p for _, p in held], "float64"), new["price"].to_numpy("float64")))
+        time = np.concatenate([*(np.array(t, "int64") for t, _ in held), new["event_time"].to_numpy("int64")])
+        price = np.concatenate([*(np.array(p, "float64") for _, p in held), new["price"].to_numpy("float64")])
         order = np.argsort(time, kind="stable")
         time, price = time[order], price[order]
         own = new["event_time"].to_numpy("int64")
         first, last = np.searchsorted(time, own - self.window_ms), np.searchsorted(time, own, "right")
-        top = np.array([price[a:b].max() for a, b in zip(first, last, strict=True)])
+        top = _top(price, first, last)
         writes = (self.writes.get()[0] if self.writes.exists() else 0) + len(own)
         if writes >= self.trim_every:
             keep = np.searchsorted(time, time[-1] - self.window_ms)
-            self.ticks.put(list(zip(time[keep:].tolist(), price[keep:].tolist(), strict=True)))
+            self.ticks.put([(time[keep:].tolist(), price[keep:].tolist())])
             writes = 0
         else:
-            self.ticks.appendList(list(zip(own.tolist(), new["price"].astype("float64").tolist(), strict=True)))
+            self.ticks.appendValue((own.tolist(), new["price"].astype("float64").tolist()))
         self.writes.update((writes,))
         yield new.assign(held=(last - first).astype("int64"), top=top)[["symbol", "event_time", "price", "held", "top"]]
 

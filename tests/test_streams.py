@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +263,38 @@ def test_replayed_and_late_candles_leave_indicators_alone(spark, feed):
     assert all(abs(ema - want[t]) < 1e-7 for t, ema in got)
 
 
+def test_top_price_of_crowded_windows():
+    import time
+
+    rng = np.random.default_rng(5)
+    values = rng.random(300).round(2)
+    first = np.sort(rng.integers(0, 300, 200))
+    last = np.minimum(first + rng.integers(1, 90, 200), 300)
+    assert stateful._top(values, first, last).tolist() == [values[a:b].max() for a, b in zip(first, last)]
+    # Windows of half of all ticks: a look at each tick of each window would be 10^11 steps.
+    n = 400_000
+    values, last = rng.random(n), np.arange(1, n + 1)
+    begun = time.process_time()
+    top = stateful._top(values, np.maximum(last - n // 2, 0), last)
+    assert time.process_time() - begun < 5
+    assert top[n // 2] == values[1 : n // 2 + 1].max() and top[-1] == values[n // 2 :].max()
+
+
+def test_history_holds_all_ticks_of_its_window(spark, feed):
+    rng = random.Random(9)
+    rows = [(s, t, float(rng.randrange(50))) for t in sorted(rng.choices(range(4_000), k=300)) for s in "AB"]
+    f = feed("symbol string, event_time bigint, price double")
+    for part in batches(rows, 3):
+        f.land([r for r in part if r[1] != part[-1][1]])  # no time is in two batches
+    taken = [r for part in batches(rows, 3) for r in part if r[1] != part[-1][1]]
+    out = f.run(lambda df: stateful.stream_history(df, 900, ttl_ms=None, trim_every=40))
+    want = []
+    for s, t, p in taken:
+        held = [q for r, u, q in taken if r == s and t - 900 <= u <= t]
+        want.append((s, t, p, len(held), max(held)))
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
 def test_late_rows_are_summed_over_all_progress():
     from types import SimpleNamespace as Entry
 
