@@ -189,3 +189,11 @@ def test_live_ticker_on_candles_stored_by_day(spark, tmp_path):
     columns = plain.columns
     by_day = live.enrich_live(stored, stored, quotes, "1h", 239 * hour + 9).select(*columns)
     assert sorted(map(tuple, by_day.collect())) == sorted(map(tuple, live.enrich_live(plain, plain, quotes, "1h", 239 * hour + 9).select(*columns).collect()))
+
+
+def test_newest_books_are_chosen_before_their_levels_are_built(spark):
+    from suite.series_queries import book_or_ticker
+
+    plan = book_or_ticker(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    chosen = next(i for i, line in enumerate(plan) if "Aggregate [" in line and "l_orderkey" in line)
+    assert not [line for line in plan[chosen:] if "lambda" in line]
