@@ -101,6 +101,15 @@ def test_numbers(spark):
     assert [r[0] for r in df.select(numeric.pct_change("open", "close")).collect()] == [10.0, 0.0]
 
 
+def test_rounded_is_round(spark):
+    tie = [0.00005, 0.00015, 1.00005, 2.00015, 14.28565, 99999999.99995, -0.00005, -2.00015]
+    odd = [0.0, -0.0, -0.00003, float("inf"), float("-inf"), float("nan"), None, 5e-324, 1e300, 1e7 + 0.00005]
+    shares = [100 * i / n for n in range(1, 60) for i in range(n)]
+    for scale in (3, 4):
+        got = column(spark, tie + odd + shares, numeric.rounded("x", scale), "double")
+        assert list(map(repr, got)) == list(map(repr, column(spark, tie + odd + shares, F.round("x", scale), "double")))
+
+
 def test_time_range_is_half_open_and_checked(spark, candles):
     df = candles([(t, 1, 1, 1, 1, 1) for t in (0, 10, 20)])
     assert [r["open_time"] for r in filters.time_range(df, 0, 20).collect()] == [0, 10]

@@ -177,6 +177,36 @@ def test_ladder_of_a_deep_book(spark):
     assert got == expected
 
 
+def test_ladder_adds_levels_in_their_order(spark):
+    # Added to 1e16 one at a time, ones are lost; added to each other first, they are not.
+    side = [(1.0, 1e16)] + [(1.0, 1.0)] * 99
+    rows = book.book_ladder(books(spark, ("A", 1, side, [])), "symbol").collect()
+    assert [r["total"] for r in sorted(rows, key=lambda r: r["level"])] == [1e16] * 100
+
+
+def test_ladder_takes_each_total_once(spark):
+    """A side is walked once, and neither again for the filter on its size nor for the side's total."""
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr(
+        "l_orderkey AS id", *[f"array(struct(l_extendedprice AS price, l_quantity AS qty)) AS {c}" for c in ("bids", "asks")]
+    )
+    plan = book.book_ladder(df, "id")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    walks = [line for line in plan if "aggregate(" in line]
+    assert len(walks) == 1 and "Project" in walks[0] and "transform(bids" not in walks[0]
+
+
+def test_ladder_of_a_book_with_nulls(spark):
+    df = books(spark, ("A", 1, [(1.0, 1.0), (2.0, None), (3.0, 1.0)], None), ("B", 1, [None, (2.0, 1.0)], [(4.0, 0.0)]))
+    rows = sorted((tuple(r) for r in book.book_ladder(df, "symbol").collect()), key=lambda r: r[:3])
+    assert rows == [
+        ("A", "bid", 0, 1.0, 1.0, 1.0, None, 0.0),
+        ("A", "bid", 1, 2.0, None, None, None, 0.0),
+        ("A", "bid", 2, 3.0, 1.0, None, None, 0.0),
+        ("B", "ask", 0, 4.0, 0.0, 0.0, 0.0, 0.0),
+        ("B", "bid", 0, None, None, None, None, 0.0),
+        ("B", "bid", 1, 2.0, 1.0, None, None, 0.0),
+    ]
+
+
 def test_live_ticker_on_candles_stored_by_day(spark, tmp_path):
     from candlelake.sources.tables import with_day
 
